@@ -70,22 +70,45 @@ def node_of(of: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(of.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+PACKED, ODD_BITS = [f"s{k}" for k in range(8)], [f"o{k}" for k in range(8)]
+
+
+def parities(of: np.ndarray) -> np.ndarray:
+    """512 bits: whether an odd number of hashes falls on each. Two sets' bits differ in no more places than the sets in elements."""
+    return np.packbits((np.bincount((of & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node, sig (null for an empty set) of each row."""
+    """doc_id, n_shingles, node, sig (null for an empty set) of each row, sig's low bytes in eight longs, and the set's parities in eight more."""
 
     def run(batches):
         rolling = Rolling()
         for batch in batches:
             data, offsets = bytes_of(batch.column("text"))
-            count, nodes, sigs = [], [], []
+            count, nodes, sigs, odd = [], [], np.zeros((len(batch), K), np.uint32), np.zeros((len(batch), 8), np.int64)
             for lo, hi in slices(offsets):
                 for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size, rolling):
-                    count.append(len(s))
+                    if len(s):
+                        sigs[len(count)], odd[len(count)] = signature(s), parities(s)
                     nodes.append(node_of(s) if len(s) else None)
-                    sigs.append(signature(s).view(np.int32) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "sig"])
+                    count.append(len(s))
+            low = sigs.astype(np.uint8).view(np.int64)
+            full = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1) * K, pa.int32()), pa.array(sigs.view(np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(nodes, pa.int64()), full, *(pa.array(x[:, k].copy()) for x in (low, odd) for k in range(8))], ["doc_id", "n_shingles", "node", "sig", *PACKED, *ODD_BITS])
+
+    schema = "doc_id long, n_shingles long, node long, sig array<int>, " + ", ".join(f"{s} long" for s in PACKED + ODD_BITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sig array<int>")
+def agree(left: str, right: str) -> str:
+    """SQL for the number of coordinates whose low bytes agree, eight at a time: at least as many as coordinates agree."""
+    terms = []
+    for s in PACKED:
+        x = f"({left}.{s} ^ {right}.{s})"
+        # The or of a byte's bits is the or of eight shifts at its lowest bit.
+        whole = " | ".join([x, *(f"shiftrightunsigned({x}, {k})" for k in range(1, 8))])
+        terms.append(f"bit_count(({whole}) & 72340172838076673L)")
+    return f"{K} - (" + " + ".join(terms) + ")"
 
 
 def full_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -123,6 +146,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+#: Posting lists are compared in chunks of about so many members, each pair of chunks by itself.
+CHUNK, BLOCK = 4096, 512
+
+
+def across(percent: int):
+    """Compares the members of each pair of chunks of a posting list that belong to different groups: sizes, parities, then coordinates."""
+
+    def compare(own, node, root, n, low, odd):
+        left = np.flatnonzero(own == own[0])
+        right = np.flatnonzero(own != own[0])
+        if not len(right):
+            right = left
+        for a in range(0, len(left), BLOCK):
+            x = left[a : a + BLOCK]
+            for b in range(0, len(right), BLOCK):
+                y = right[b : b + BLOCK]
+                p, q = n[x][:, None], n[y][None, :]
+                apart = sum(np.bitwise_count(odd[x, k][:, None] ^ odd[y, k][None, :]).astype(np.int64) for k in range(8))
+                ok = (root[x][:, None] != root[y][None, :]) & (100 * np.minimum(p, q) >= percent * np.maximum(p, q)) & ((100 + percent) * apart <= (100 - percent) * (p + q))
+                u, v = np.nonzero(ok)
+                same = (low[x[u]].view(np.uint8).reshape(len(u), K) == low[y[v]].view(np.uint8).reshape(len(v), K)).sum(1) >= MATCH
+                yield node[x[u[same]]], node[y[v[same]]]
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            cols = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], 1)
+            cols = np.concatenate((rest, cols)) if rest is not None else cols
+            cut = np.flatnonzero((cols[1:, :3] != cols[:-1, :3]).any(1)) + 1
+            rest = cols[cut[-1] :] if len(cut) else cols
+            yield batch_of([cols[a:z] for a, z in zip(np.concatenate(([0], cut[:-1])), cut, strict=False)] if len(cut) else [])
+        if rest is not None and len(rest):
+            yield batch_of([rest])
+
+    def batch_of(groups):
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for g in groups:
+            if len(g) > 1:
+                found += compare(g[:, 3], g[:, 4], g[:, 5], g[:, 6], np.ascontiguousarray(g[:, 7:15]), np.ascontiguousarray(g[:, 15:23]).view(np.uint64))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        pairs = np.unique(np.stack((low, high), 1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: groups of documents linked by a Jaccard index of `percent` per cent or more over word shingles.
 
@@ -135,41 +205,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     groups. Then only members of different groups are compared, list by list, if their set sizes allow the threshold at all.
     """
     sk = written(sketches(docs, size), "sketches")
-    reps = sk.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    sketch = ["n", *PACKED, *ODD_BITS]
+    firsts = [F.first(s).alias(s) for s in PACKED + ODD_BITS]
+    reps = sk.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), *firsts)
     reps = written(reps, "reps")
-    token = reps.select("node", "n", F.posexplode("sig").alias("k", "v")).select("node", F.expr("shiftleft(cast(k as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("token"))
+    token = reps.select("node", F.posexplode("sig").alias("k", "v")).select("node", F.expr("shiftleft(cast(k as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("token"))
     common = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    prefix = (
+    posted = (
         token.join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
         .where(F.size("held") >= MATCH)
         .select("node", F.explode(F.slice("held", F.lit(1), F.size("held") - MATCH + 1)).alias("t")).select("node", "t.token")
     )
-    posted = written(prefix.join(reps.select("node", "n"), "node"), "posted")
+    posted = written(posted, "posted")
+    parity = " + ".join(f"bit_count(p.{s} ^ q.{s})" for s in ODD_BITS)
+    fits = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) and {100 + percent} * ({parity}) <= {100 - percent} * (p.n + q.n) and {agree('p', 'q')} >= {MATCH}"
     lists = posted.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("df")).where("df > 1")
-    star = posted.join(lists, "token").where("node <> a").select("a", F.col("node").alias("b"))
-    sig = reps.select("node", "sig", "n")
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and size(filter(zip_with(sig, gis, (x, y) -> x = y), e -> e)) >= {MATCH}")
-
-    def matched(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sig.withColumnRenamed("node", "a"), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("gis"), F.col("n").alias("m")), "b")
-        return pairs.where(fits).select("a", "b")
-
-    first = written(matched(star.groupBy("a", "b").agg(F.count("*").alias("hits"))), "pairs")
+    star = posted.join(lists, "token").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("hits"))
+    of = reps.select("node", *sketch)
+    star = star.join(of.select(F.col("node").alias("a"), F.struct(*sketch).alias("p")), "a").join(of.select(F.col("node").alias("b"), F.struct(*sketch).alias("q")), "b")
+    first = written(star.where(fits).select("a", "b"), "pairs")
     active = posted.select("node").distinct().join(reps.select("node", "rep"), "node")
     sets = full_sets(docs, active, size)
     linked = written(confirmed(first, sets, percent).distinct(), "links")
     group = stars(linked)
-    held = posted.join(group, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    held = posted.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    # Sizes in steps of the threshold: members of a pair lie in one step or in neighbouring ones.
-    held = held.join(mixed, "token").withColumn("step", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))))
-    probe = held.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
-    second = (
-        held.alias("p").join(probe.alias("q"), ["token", "step"])
-        .where(F.expr(f"p.root <> q.root and 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)"))
-        .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
-    )
-    second = written(matched(second.groupBy("a", "b").agg(F.count("*").alias("hits")).join(first, ["a", "b"], "left_anti")), "pairs")
+    sizes = held.join(mixed, "token").groupBy("token").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
+    held = held.join(sizes, "token").withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.join(of, "node").select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", *sketch)
+    by = ["token", "i", "j"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    second = held.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(across(percent), "a long, b long").distinct()
+    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         group = stars(linked.union(confirmed(second, sets, percent).distinct()))
     group = written(group, "groups")
