@@ -220,10 +220,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     parity = " + ".join(f"bit_count(p.{s} ^ q.{s})" for s in ODD_BITS)
     fits = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) and {100 + percent} * ({parity}) <= {100 - percent} * (p.n + q.n) and {agree('p', 'q')} >= {MATCH}"
     lists = posted.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("df")).where("df > 1")
-    star = posted.join(lists, "token").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("hits"))
+    star = posted.join(lists, "token").where("node <> a").groupBy("a", "node").agg(F.count("*").alias("hits"))
     of = reps.select("node", *sketch)
-    star = star.join(of.select(F.col("node").alias("a"), F.struct(*sketch).alias("p")), "a").join(of.select(F.col("node").alias("b"), F.struct(*sketch).alias("q")), "b")
-    first = written(star.where(fits).select("a", "b"), "pairs")
+    star = star.join(of.select("node", F.struct(*sketch).alias("q")), "node").join(of.select(F.col("node").alias("one"), F.struct(*sketch).alias("p")), F.expr(f"a = one and {fits}"))
+    first = written(star.select("a", F.col("node").alias("b")), "pairs")
     active = posted.select("node").distinct().join(reps.select("node", "rep"), "node")
     sets = full_sets(docs, active, size)
     linked = written(confirmed(first, sets, percent).distinct(), "links")
@@ -238,10 +238,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     second = held.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(across(percent), "a long, b long").distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        group = stars(linked.union(confirmed(second, sets, percent).distinct()))
     group = written(group, "groups")
     nodes = reps.select("node", "rep").join(group, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
+    if not second.isEmpty():
+        # Links between groups join the groups: their graph has a node for each group only.
+        own = lambda side: nodes.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        between = confirmed(second, sets, percent).join(own("b"), "b").join(own("a"), "a").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+        whole = stars(between).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        nodes = nodes.join(whole, "root", "left").select("node", F.coalesce("whole", "root").alias("root"), "rep")
+    nodes = written(nodes, "nodes")
     least = nodes.groupBy("root").agg(F.min("rep").alias("component"))
     nodes = nodes.join(least, "root").select("node", "component")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
