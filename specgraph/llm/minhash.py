@@ -150,14 +150,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 CHUNK, BLOCK = 4096, 512
 
 
+#: Pairs whose signatures are compared at once.
+PAIRS = 1 << 15
+
+
 def across(percent: int):
-    """Compares the members of each pair of chunks of a posting list that belong to different groups: sizes, parities, then coordinates."""
+    """Compares the members of each pair of chunks of a posting list that belong to different groups: sizes, parities, then coordinates.
 
-    def compare(own, node, root, n, low, odd):
-        left = np.flatnonzero(own == own[0])
-        right = np.flatnonzero(own != own[0])
-        if not len(right):
-            right = left
+    Two members may meet in many lists; only the list of the lowest coordinate that both have posted and share returns the pair.
+    """
+    bit = np.arange(K, dtype=np.uint64)
+
+    def compare(g):
+        nth, i, j, own, node, root, n, mask = (g[:, c] for c in range(8))
+        odd, sig = np.ascontiguousarray(g[:, 8:16]).view(np.uint64), np.ascontiguousarray(g[:, 16:]).view(np.uint32)
+        mask = mask.copy().view(np.uint64)
+        left = np.flatnonzero(own == i)
+        right = np.flatnonzero(own == j)
         for a in range(0, len(left), BLOCK):
             x = left[a : a + BLOCK]
             for b in range(0, len(right), BLOCK):
@@ -165,14 +174,20 @@ def across(percent: int):
                 p, q = n[x][:, None], n[y][None, :]
                 apart = sum(np.bitwise_count(odd[x, k][:, None] ^ odd[y, k][None, :]).astype(np.int64) for k in range(8))
                 ok = (root[x][:, None] != root[y][None, :]) & (100 * np.minimum(p, q) >= percent * np.maximum(p, q)) & ((100 + percent) * apart <= (100 - percent) * (p + q))
-                u, v = np.nonzero(ok)
-                same = (low[x[u]].view(np.uint8).reshape(len(u), K) == low[y[v]].view(np.uint8).reshape(len(v), K)).sum(1) >= MATCH
-                yield node[x[u[same]]], node[y[v[same]]]
+                us, vs = np.nonzero(ok)
+                for c in range(0, len(us), PAIRS):
+                    u, v = x[us[c : c + PAIRS]], y[vs[c : c + PAIRS]]
+                    same = sig[u] == sig[v]
+                    posted = ((mask[u] & mask[v])[:, None] >> bit) & np.uint64(1) == 1
+                    here = (same.sum(1) >= MATCH) & ((same & posted).argmax(1) == nth[0] >> 32)
+                    yield node[u[here]], node[v[here]]
 
     def run(batches):
         rest = None
         for batch in batches:
-            cols = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], 1)
+            cols = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns[:-1]], 1)
+            sig = np.ascontiguousarray(np.asarray(batch.column("sig").flatten()).astype(np.int32)).reshape(-1, K).view(np.int64)
+            cols = np.concatenate((cols, sig), 1)
             cols = np.concatenate((rest, cols)) if rest is not None else cols
             cut = np.flatnonzero((cols[1:, :3] != cols[:-1, :3]).any(1)) + 1
             rest = cols[cut[-1] :] if len(cut) else cols
@@ -184,7 +199,7 @@ def across(percent: int):
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for g in groups:
             if len(g) > 1:
-                found += compare(g[:, 3], g[:, 4], g[:, 5], g[:, 6], np.ascontiguousarray(g[:, 7:15]), np.ascontiguousarray(g[:, 15:23]).view(np.uint64))
+                found += compare(g)
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         low, high = np.minimum(a, b), np.maximum(a, b)
         pairs = np.unique(np.stack((low, high), 1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
@@ -232,11 +247,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     sizes = held.join(mixed, "token").groupBy("token").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
-    held = held.join(sizes, "token").withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    held = held.join(of, "node").select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", *sketch)
+    held = held.join(sizes, "token")
+    masks = held.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
+    held = held.withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.join(masks.join(reps.select("node", "n", *ODD_BITS, "sig"), "node"), "node").select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "mask", *ODD_BITS, "sig")
     by = ["token", "i", "j"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    second = held.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(across(percent), "a long, b long").distinct()
+    second = held.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(across(percent), "a long, b long")
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     group = written(group, "groups")
     nodes = reps.select("node", "rep").join(group, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")

@@ -49,6 +49,33 @@ def test_near_duplicates(request, which):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted((i, len(s), root[i], root[i] == i) for i, s in rows)
 
 
+def test_second_round_returns_each_pair_once(monkeypatch):
+    """Posting lists of random near-equal signatures, in chunks (one of them empty) and in cut batches, against all pairs."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "PAIRS", 5)
+    rng = np.random.default_rng(3)
+    n, names = 60, ["token", "i", "j", "own", "node", "root", "n", "mask", *minhash.ODD_BITS, "sig"]
+    sig = np.where(rng.random((n, minhash.K)) < 0.3, rng.integers(0, 3, (n, minhash.K)), 9).astype(np.int32)
+    posted = rng.random((n, minhash.K)) < 0.4
+    root, size = rng.integers(0, 20, n), rng.integers(90, 130, n)
+    mask = [int(np.packbits(p, bitorder="little").view(np.int64)[0]) for p in posted]
+    rows = []
+    for k in range(minhash.K):
+        for v in np.unique(sig[:, k]):
+            for d in np.flatnonzero((sig[:, k] == v) & posted[:, k]):
+                own = int(d) % 2 * 2
+                rows += [((k << 32) | int(v), min(own, o), max(own, o), own, int(d), int(root[d]), int(size[d]), mask[d], *[0] * 8, sig[d].tolist()) for o in range(3)]
+    rows.sort(key=lambda r: r[:3])
+    types = [pa.int64()] * 16 + [pa.list_(pa.int32())]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 97], strict=True), types, strict=True)], names) for a in range(0, len(rows), 97)]
+    got = [(a, b) for out in minhash.across(80)(iter(batches)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    fits = lambda a, b: root[a] != root[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]) and (sig[a] == sig[b]).sum() >= minhash.MATCH and ((sig[a] == sig[b]) & posted[a] & posted[b]).any()
+    want = [(a, b) for a in range(n) for b in range(a + 1, n) if fits(a, b)]
+    assert want and sorted(got) == want
+
+
 def test_transform_against_sorted_suffixes():
     rng = np.random.default_rng(1)
     for _ in range(50):
