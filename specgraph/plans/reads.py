@@ -333,11 +333,11 @@ def set_metrics_by_type(spark, d):
     return Q.set_metrics(x.where("quality = 1"), x.where("toxic = 0"), "type")
 
 
-@query("WITH old AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 11 <> 0) SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.doc_id = documents.doc_id AND old.hash = sha256(text))", prefix=False)
+@query("WITH old AS (SELECT doc_id, sha256(CASE WHEN source = 'src7' THEN text || '!' ELSE text END) AS hash FROM documents WHERE lang <> 'de') SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.doc_id = documents.doc_id AND old.hash = sha256(text))", prefix=False)
 def changed_files(spark, d):
     docs = P.table(spark, d, "documents")
     now = docs.select("doc_id", F.sha2("text", 256).alias("hash"))
-    old = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
+    old = docs.where("lang <> 'de'").select("doc_id", F.sha2(F.when(F.col("source") == "src7", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
     return now.join(old, ["doc_id", "hash"], "left_anti").select("doc_id")
 
 
@@ -370,8 +370,28 @@ def longest_prefix_route(spark, d):
     return route(pages, roots)
 
 
-@query("SELECT lower(name) AS name, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(left(text, 3000), '\\b[A-Z][a-z]+\\b'))) AS name FROM documents WHERE lang = 'en') WHERE len(name) >= 4 GROUP BY 1 HAVING count(*) > 3", prefix=False)
+@query("SELECT lower(name) AS name, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b'))) AS name FROM documents WHERE lang = 'en') WHERE len(name) >= 4 GROUP BY 1 HAVING count(*) > 3", prefix=False)
 def entity_mentions(spark, d):
-    names = F.explode(F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 3000), F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0))))
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0))))
     t = P.table(spark, d, "documents").where("lang = 'en'").select(names.alias("name")).where("length(name) >= 4")
     return t.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n")).where("n > 3")
+
+
+@query("WITH t AS (SELECT conv_id, turn, role, 1 + length(text) - length(replace(text, chr(10), '')) AS n FROM conversations) SELECT conv_id, turn, role AS heading, 1 AS level, 1 AS start_line, 1 + n AS end_line FROM t UNION ALL SELECT conv_id, turn, 'turn ' || turn, 2, 2 + n, 2 + 2 * n FROM t", prefix=False)
+def document_sections(spark, d):
+    """Every turn as a document of two sections."""
+    from specgraph.operators.documents import sections
+
+    text = F.concat(F.lit("# "), "role", F.lit("\n"), "text", F.lit("\n## turn "), F.col("turn").cast("string"), F.lit(" ##\n"), "text")
+    t = P.table(spark, d, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+    return sections(t, "text", "role").select("conv_id", "turn", "heading", "level", "start_line", "end_line")
+
+
+@query("SELECT p_partkey, 1 AS line, 'row.' || p_brand || ' = 1' AS raw FROM part UNION ALL SELECT p_partkey, 3, 'x[\"Brand\"] // ' || p_type FROM part", prefix=False)
+def field_search(spark, d):
+    """Lines that touch the field Brand in a three-line source made of every part."""
+    from specgraph.operators.fields import field_references
+
+    source = F.concat(F.lit("row."), "p_brand", F.lit(" = 1\n// row.Brand "), "p_name", F.lit('\nx["Brand"] // '), "p_type")
+    files = P.table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.lit("a.ts").alias("path"), source.alias("source"))
+    return field_references(files, "Brand").select(F.col("file_id").alias("p_partkey"), "line", "raw")
