@@ -395,3 +395,21 @@ def field_search(spark, d):
     source = F.concat(F.lit("row."), "p_brand", F.lit(" = 1\n// row.Brand "), "p_name", F.lit('\nx["Brand"] // '), "p_type")
     files = P.table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.lit("a.ts").alias("path"), source.alias("source"))
     return field_references(files, "Brand").select(F.col("file_id").alias("p_partkey"), "line", "raw")
+
+
+@query("SELECT doc_id, lang AS state FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id) UNION ALL SELECT doc_id, max_by(quality, 2 * quality + toxic)::VARCHAR FROM labels GROUP BY doc_id", prefix=False)
+def upsert_rows(spark, d):
+    """Labels put into the documents' states; of several labels the last in order stays."""
+    from specgraph.operators.writing import upsert
+
+    rows = P.table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("state"), (2 * F.col("quality") + F.col("toxic")).alias("seq"))
+    return upsert(P.table(spark, d, "documents").select("doc_id", F.col("lang").alias("state")), rows, ["doc_id"], "seq")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN o_orderstatus = 'P' THEN false END AS active FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey", prefix=False)
+def switched_off_rows(spark, d):
+    """Order lines switched off where their order counts as rejected."""
+    from specgraph.operators.writing import switched_off
+
+    off = P.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return switched_off(P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), off, ["l_orderkey"])
