@@ -58,7 +58,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("near_duplicates", unique), ("personal_data", redacted), ("mixing", mixed), ("packing", packed)]
 
-#: No stage but the last two has a fair SQL form; tests/llm/test_pipeline.py holds run() to a plain version.
+#: No stage but the last two has a fair SQL form; tests/llm/test_pages_vectors_pipeline.py holds run() to a plain version.
 ORACLE_SQL = None
 
 
