@@ -61,7 +61,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21):
+def slices(offsets: np.ndarray, most: int = 1 << 19):
     """Runs of whole rows of about `most` bytes; a longer row stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -119,20 +119,26 @@ class IdFilter:
         table[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
         self.table = ids.sparkSession.sparkContext.broadcast(table)
 
+    def spots(self, column: str) -> F.Column:
+        """The places of a row's id in the filter; never null."""
+        return F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(self.BITS)) for k in (1, 2)])
+
+    def may(self, spots: pa.Array) -> np.ndarray:
+        """For a batch of such places, which of its ids may be among the ids."""
+        at = np.asarray(spots.flatten()).reshape(-1, 2)
+        return ((self.table.value[at >> 6] >> (at & 63)) & 1).all(1)
+
     def marked(self, df: DataFrame, column: str) -> DataFrame:
         """df and a column __may: whether the row's id may be among the ids."""
-        table, bits = self.table, self.BITS
-        spots = F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(bits)) for k in (1, 2)])
-        schema = df.withColumn("__may", F.lit(True)).schema
+        schema, may = df.withColumn("__may", F.lit(True)).schema, self.may
 
         def run(batches):
             for b in batches:
-                at = np.asarray(b.column("__spots").flatten()).reshape(-1, 2)
-                ok = ((table.value[at >> 6] >> (at & 63)) & 1).all(1)
+                ok = may(b.column("__spots"))
                 b = b.drop_columns(["__spots"])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], [*b.schema.names, "__may"])
 
-        return df.withColumn("__spots", spots).mapInArrow(run, schema)
+        return df.withColumn("__spots", self.spots(column)).mapInArrow(run, schema)
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
         """The rows of df whose id may be among the ids."""

@@ -113,11 +113,15 @@ def agree(left: str, right: str) -> str:
 
 def full_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """node and its shingle hashes, eight bytes each, of the documents that stand for a node in reps."""
-    docs = IdFilter(reps.select(F.col("rep").alias("id"))).keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "doc_id")
+    wanted = IdFilter(reps.select(F.col("rep").alias("id")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").select("text", wanted.spots("doc_id").alias("spots"))
+    may = wanted.may
 
     def run(batches):
         rolling = Rolling()
         for batch in batches:
+            # The filter is asked here, not in a step before: that would hold a second Python worker for each task.
+            batch = batch.filter(pa.array(may(batch.column("spots")), pa.bool_()))
             data, offsets = bytes_of(batch.column("text"))
             nodes, sets = [], []
             for lo, hi in slices(offsets):
