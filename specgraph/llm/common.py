@@ -35,6 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a Python worker is given at once. Spark's own bound is 64 MB, of which a worker holds two or three copies and the JVM one more.
+BATCH = 4 << 20
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs, for mapInArrow over its texts: lowers the session's bound on an Arrow batch to BATCH bytes; a single longer row still goes through whole."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(name).rstrip("b")) <= BATCH:
+        conf.set(name, str(BATCH))
+    return docs
+
+
 def words(col) -> F.Column:
     """The number of words `[^\\x20\\x09-\\x0D]+` of a text column; null counts 0."""
     return F.coalesce(F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -138,7 +150,7 @@ class IdFilter:
                 b = b.drop_columns(["__spots"])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], [*b.schema.names, "__may"])
 
-        return df.withColumn("__spots", self.spots(column)).mapInArrow(run, schema)
+        return in_small_batches(df.withColumn("__spots", self.spots(column))).mapInArrow(run, schema)
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
         """The rows of df whose id may be among the ids."""

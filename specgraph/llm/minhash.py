@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, IdFilter, Rolling, bytes_of, mix, slices, written
+from .common import LOWER, SPACE, IdFilter, Rolling, bytes_of, in_small_batches, mix, slices, written
 from .components import stars
 
 K, MATCH = 64, 36
@@ -97,7 +97,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(nodes, pa.int64()), full, *(pa.array(x[:, k].copy()) for x in (low, odd) for k in range(8))], ["doc_id", "n_shingles", "node", "sig", *PACKED, *ODD_BITS])
 
     schema = "doc_id long, n_shingles long, node long, sig array<int>, " + ", ".join(f"{s} long" for s in PACKED + ODD_BITS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
 def agree(left: str, right: str) -> str:
@@ -130,7 +130,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "items"])
 
-    return docs.mapInArrow(run, "node long, items binary")
+    return in_small_batches(docs).mapInArrow(run, "node long, items binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Rolling, bytes_of, slices, written
+from .common import LOWER, SPACE, Rolling, bytes_of, in_small_batches, slices, written
 
 NAMES = ("log_bytes", "log_words", "word_bytes", "upper", "symbols", "bars", "shouts", "digits", "new_lines", "stops", "distinct", "repeats", "top_word", "symbol_words")
 #: Weight of the diagonal in each class covariance, and of what both classes share.
@@ -85,7 +85,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 class Discriminant:
@@ -181,4 +181,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
             if parts:
                 yield batch.filter(pa.array(model.score(np.concatenate(parts)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
