@@ -16,6 +16,8 @@ from .vectors import matrix, unit, usable
 ORDERINGS, DIMS, BITS = 16, 4, 12
 BLOCK, REACH, SAMPLE = 2048, 0.05, 20_000
 SPREAD = 5.0
+#: Scores nearer than this to the last that counts are taken anew pair by pair; scores that agree to 1 / TIE are ties.
+MARGIN, TIE = 1e-9, 1e12
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -55,13 +57,14 @@ def keys(x: np.ndarray, seed: int) -> np.ndarray:
 def nearest(vectors: DataFrame, queries, k: int = 5, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that meets `queries` (a condition on vec_id) its k nearest other rows by cosine.
 
-    Nearest first, ties to the smaller vec_id; fewer than k if there are no more. Vectors that are null, zero, or hold null or non-finite components take
-    no part, nor do rows with a null vec_id; vectors must be of one length. Rows that share a vec_id are rows of their own; a query's own row is left out
-    by its id. An empty table gives no rows. Columns other than vec_id and embedding aren't read.
+    Nearest first, ties (scores that agree to 12 decimals) to the smaller vec_id; fewer than k if there are no more. Vectors that are null, zero, or hold null or non-finite components take
+    no part, nor do rows with a null vec_id; vectors must be of one length. Rows that share a vec_id are rows of their own; each is asked and may
+    be found, and what has a query's own id is left out. An empty table gives no rows. Columns other than vec_id and embedding aren't read.
 
-    Copies of one vector are searched once, and stand in the result by their k + 1 smallest ids. Each ordering is cut into ranges of about BLOCK
-    vectors, at quantiles of at most SAMPLE keys; a query meets the ranges within REACH of all rows on either side of its own. What it finds in any
-    ordering is ranked anew by exact cosines of the original vectors. The orderings find what is nearest in a few projected dimensions: where
+    Copies of one vector are searched once (but for ids on several vectors, which are searched each by themselves, without what has their id alone),
+    and stand in the result by their k + 1 smallest ids. Each ordering is cut into ranges of about BLOCK
+    vectors, at quantiles of at most SAMPLE keys; a query meets the ranges within REACH of all rows on either side of its own. What it meets in any
+    ordering is ranked by cosines of the original vectors in double precision. The orderings find what is nearest in a few projected dimensions: where
     vectors have no structure, near ones are little nearer there than others, and only a wide reach finds them.
     """
     rows = written(usable(vectors), "vectors")
@@ -69,11 +72,18 @@ def nearest(vectors: DataFrame, queries, k: int = 5, seed: int = 5) -> DataFrame
     def least(batches):
         for b in batches:
             pdf = pd.DataFrame({"node": np.asarray(b.column("node")), "vec_id": np.asarray(b.column("vec_id"))})
-            yield pa.RecordBatch.from_pandas(pdf.sort_values(["node", "vec_id"]).groupby("node").head(k + 1), preserve_index=False)
+            pdf = pdf.groupby(["node", "vec_id"]).size().astype("int64").reset_index(name="copies")
+            yield pa.RecordBatch.from_pandas(pdf.groupby("node").head(k + 1), preserve_index=False)
 
-    few = rows.select("node", "vec_id").mapInArrow(least, "node long, vec_id long").withColumn("n", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
+    few = rows.select("node", "vec_id").mapInArrow(least, "node long, vec_id long, copies long").groupBy("node", "vec_id").agg(F.sum("copies").alias("copies"))
+    few = few.withColumn("n", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     members = written(few, "members")
-    nodes = written(rows.groupBy("node").agg(F.first("vec").alias("vec"), F.max(queries.cast("int")).alias("asks")), "nodes")
+    two = members.where("n <= 2").groupBy("node").agg(F.min("vec_id").alias("id1"), F.max("vec_id").alias("id2"))
+    nodes = written(rows.groupBy("node").agg(F.first("vec").alias("vec")).join(two, "node"), "nodes")
+    # Rows that ask, by id and vector; own: whether the id is on several vectors.
+    asking = rows.where(queries).groupBy(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).agg(F.count("*").alias("times"))
+    asking = asking.join(asking.groupBy("query_id").agg((F.count("*") > 1).alias("own")), "query_id")
+    asking = written(asking.withColumn("self", F.when(F.col("own"), F.col("query_id")).otherwise(F.lit(0))), "asking")
     n = nodes.count()
     sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))).select("vec").limit(2 * SAMPLE)
     taken = matrix(pa.array([bytes(r["vec"]) for r in sample.collect()], pa.binary()))
@@ -87,46 +97,48 @@ def nearest(vectors: DataFrame, queries, k: int = 5, seed: int = 5) -> DataFrame
             if not len(x):
                 continue
             at = keys(x, seed)
-            asks = np.asarray(b.column("asks")).astype(bool)
-            flat = x.astype(np.float32)
             for o in range(ORDERINGS):
                 block = np.searchsorted(cuts[:, o], at[:, o], "right")
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(np.full(len(x), o), pa.int32()), pa.array(block, pa.int32()), pa.array([r.tobytes() for r in flat], pa.binary()), pa.array(asks)], ["node", "o", "block", "vec", "asks"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), o), pa.int32()), pa.array(block, pa.int32())], [*b.schema.names, "o", "block"])
 
-    placed = nodes.mapInArrow(place, "node long, o int, block int, vec binary, asks boolean")
-    asked = placed.where("asks").select("node", "o", F.explode(F.sequence(F.greatest(F.col("block") - side, F.lit(0)), F.least(F.col("block") + side, F.lit(blocks - 1)))).alias("block"), "vec")
+    asks = nodes.select(F.col("node").alias("q"), "vec").join(asking.select("q", "own", "self").distinct(), "q").select("q", "own", "self", "vec")
+    asked = asks.mapInArrow(place, "q long, own boolean, self long, vec binary, o int, block int")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.greatest(F.col("block") - side, F.lit(0)), F.least(F.col("block") + side, F.lit(blocks - 1)))))
     # Queries of one block are dealt to as many tasks as keep each small; the block goes along.
     deals = max(1, int(n * (2 * side + 1) / blocks / 8192 / 16))
-    asked = asked.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(deals)).cast("int"))
-    held = placed.select("node", "o", "block", "vec", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+    asked = asked.withColumn("deal", F.pmod(F.xxhash64("q", "self"), F.lit(deals)).cast("int"))
+    held = nodes.select("node", "vec", "id1", "id2").mapInArrow(place, "node long, vec binary, id1 long, id2 long, o int, block int").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            b = np.frombuffer(b"".join(right["vec"]), np.float32).reshape(len(right), -1)
-            names = right["node"].to_numpy()
-            for i in range(0, len(left), 512):
-                part = left.iloc[i : i + 512]
-                score = np.frombuffer(b"".join(part["vec"]), np.float32).reshape(len(part), -1) @ b.T
-                top = min(2 * k + 1, score.shape[1])
-                pick = np.argpartition(-score, top - 1, axis=1)[:, :top]
-                out.append(pd.DataFrame({"q": np.repeat(part["node"].to_numpy(), top), "c": names[pick].ravel(), "s": np.take_along_axis(score, pick, 1).ravel().astype(float)}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "c": [], "s": []}).astype({"q": "int64", "c": "int64", "s": "float64"})
-
-    by = ["o", "block", "deal"]
-    found = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(search, "q long, c long, s double").groupBy("q", "c").agg(F.max("s").alias("s"))
-    found = found.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("n") <= 2 * k + 1).select("q", "c")
-
-    def exact(batches):
-        for b in batches:
-            x, y = matrix(b.column("x")), matrix(b.column("y"))
-            score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("c"), pa.array(score)], ["q", "c", "score"])
-
-    pairs = found.join(nodes.select(F.col("node").alias("q"), F.col("vec").alias("x")), "q").join(nodes.select(F.col("node").alias("c"), F.col("vec").alias("y")), "c")
-    scored = written(pairs.select("q", "c", "x", "y").mapInArrow(exact, "q long, c long, score double"), "scored")
-    hits = scored.join(members.withColumnRenamed("node", "c"), "c")
-    hits = hits.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n", "c")
-    asking = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"))
-    best = asking.join(hits, "q").where("vec_id <> query_id").withColumn("rank", F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")))
-    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            y = np.frombuffer(b"".join(right["vec"]), np.float64).reshape(len(right), -1)
+            long, flat = np.sqrt((y * y).sum(1)), unit(y).T
+            names, id1, id2 = (right[c].to_numpy() for c in ("node", "id1", "id2"))
+            for i in range(0, len(left), 256):
+                part = left.iloc[i : i + 256]
+                x = np.frombuffer(b"".join(part["vec"]), np.float64).reshape(len(part), -1)
+                near = unit(x) @ flat
+                for j, (q, own, me) in enumerate(zip(part["q"], part["own"], part["self"], strict=True)):
+                    # The least id that isn't the query's; vectors that have no other are left out.
+                    first = np.where(id1 == me, id2, id1) if own else id1
+                    use = np.flatnonzero(first != me) if own else np.arange(len(names))
+                    if len(use) > k + 1:
+                        s = near[j, use]
+                        use = use[s >= np.partition(s, -k - 1)[-k - 1] - MARGIN]
+                    score = (x[j] * y[use]).sum(1) / (np.sqrt((x[j : j + 1] * x[j : j + 1]).sum(1)) * long[use])
+                    level = np.rint(score * TIE).astype(np.int64)
+                    best = np.lexsort((first[use], -level))[: k + 1]
+                    out.append(pd.DataFrame({"q": q, "own": own, "self": me, "c": names[use[best]], "first": first[use[best]], "level": level[best], "score": score[best]}))
+        kinds = {"q": "int64", "own": "bool", "self": "int64", "c": "int64", "first": "int64", "level": "int64", "score": "float64"}
+        return pd.concat(out).astype(kinds) if out else pd.DataFrame({c: [] for c in kinds}).astype(kinds)
+
+    by, who = ["o", "block", "deal"], ["q", "own", "self"]
+    found = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(search, "q long, own boolean, self long, c long, first long, level long, score double")
+    found = found.groupBy(*who, "c").agg(F.first("first").alias("first"), F.max("level").alias("level"), F.max("score").alias("score"))
+    found = written(found.withColumn("n", F.row_number().over(W.partitionBy(*who).orderBy(F.desc("level"), "first"))).where(F.col("n") <= k + 1).drop("n", "first"), "found")
+    hits = found.join(members.drop("n").withColumnRenamed("node", "c"), "c").where("not own or vec_id <> self")
+    hits = hits.withColumn("n", F.row_number().over(W.partitionBy(*who).orderBy(F.desc("level"), "vec_id", "c"))).where(F.col("n") <= k + 1).drop("n")
+    best = asking.join(hits, who).where("vec_id <> query_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.desc("level"), "vec_id", "c"))).where(F.col("rank") <= k)
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("query_id", "rank", "vec_id", "score")

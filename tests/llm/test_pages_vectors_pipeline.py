@@ -83,6 +83,22 @@ def test_nearest(vectors):
         assert [found[k][1] for k in range(1, 6)] == pytest.approx([s[i] for i in want])
 
 
+def test_nearest_of_near_copies_and_scaled_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(240, 16))
+    x[:60] = x[0] + 1e-5 * rng.normal(size=(60, 16))
+    x[60:120] = x[60] * rng.uniform(0.5, 2, size=(60, 1))
+    got = {}
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in hilbert.nearest(df, F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 240, 20):
+        s = np.round(u @ u[q], 12)
+        want = sorted((i for i in range(240) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert [got[q][n] for n in range(1, 6)] == want
+
+
 def test_hilbert_steps_to_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = hilbert.hilbert(cells, 3)
