@@ -99,6 +99,26 @@ def test_nearest_of_near_copies_and_scaled_copies(spark):
         assert [got[q][n] for n in range(1, 6)] == want
 
 
+def test_nearest_of_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 8))
+    ids = list(range(40))
+    ids[1:8] = [0] * 7  # one id on eight vectors
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)]
+    rows += [rows[20], (0, rows[20][1]), rows[30], rows[30]]  # whole rows twice and thrice, and a query's id on another's vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in hilbert.nearest(df, F.col("vec_id") % 10 == 0, 5).collect())
+    want = []
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for n, (q, _) in enumerate(rows):
+        if q % 10 == 0:
+            s = np.round(u @ u[n], 12)
+            best = sorted((m for m in range(len(rows)) if rows[m][0] != q), key=lambda m: (-s[m], rows[m][0]))[:5]
+            want += [(q, k + 1, rows[m][0], round(s[m], 9)) for k, m in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_hilbert_steps_to_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = hilbert.hilbert(cells, 3)
