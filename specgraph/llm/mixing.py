@@ -104,7 +104,8 @@ def mix(docs: DataFrame, sources="source", weights: tuple[int, ...] = WEIGHTS, m
     sources: a column with a document's source, or with an array of them if sources overlap; a null (or an empty array) is a source of its own, the
     last. size: the words of the text, null: 0. source_size and target are of the document's source, for an array of its first one in code point order.
     taken: words of the document in the mix, a multiple of its size up to `most` times. Whole repetitions follow from the flow; what remains of a
-    pattern's share goes to documents in a seeded order that depends on doc_id and size alone, and the last gap to the largest documents that fit.
+    pattern's share goes to documents in a seeded order that depends on doc_id and size alone, and the last gap to the largest documents that fit,
+    as many of each size as fit.
     Documents of size 0 are never taken; repeated rows count each; an empty table gives no rows.
     """
     col = F.col(sources) if isinstance(sources, str) else sources
@@ -137,7 +138,30 @@ def mix(docs: DataFrame, sources="source", weights: tuple[int, ...] = WEIGHTS, m
 
 
 def _chosen(rows: DataFrame, gaps: DataFrame) -> DataFrame:
-    """The row numbers that fill each pattern's rest, in the order of u: by bins of u, then by bins within the bin where the rest ends, then by row."""
+    """The row numbers that fill each pattern's rest: in the order of u as far as it goes, then as many of each size as fit, the largest first."""
+    first, later = _in_order(rows, gaps)
+    sizes = later.groupBy("p", "size", "gap").agg(F.count("*").alias("n"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        gap, got = int(pdf["gap"].iloc[0]) if len(pdf) else 0, []
+        for size, n in sorted(zip(pdf["size"], pdf["n"], strict=True), reverse=True):
+            if use := min(int(n), gap // int(size)):
+                gap -= use * int(size)
+                got.append((pdf["p"].iloc[0], size, use * int(size)))
+        return pd.DataFrame(got, columns=["p", "size", "rest"]).astype("int64")
+
+    use = written(sizes.groupBy("p").applyInPandas(fill, "p long, size long, rest long"), "fills")
+    # Rows of one size fill what they have to without a gap.
+    both = F.xxhash64("p", "size").alias("p")
+    more, _ = _in_order(later.join(use.select("p", "size"), ["p", "size"], "left_semi").select(both, "row", "size", "u"), use.select(both, "rest"))
+    return first.union(more)
+
+
+def _in_order(rows: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The row numbers that fill each pattern's rest in the order of u, up to the first row that is too large, and the later rows (p, row, size, u, gap) that fit the gap.
+
+    By bins of u, then by bins within the bin where the rest ends, then by row.
+    """
     rows = rows.join(gaps.select("p"), "p", "left_semi").withColumn("b1", F.shiftrightunsigned("u", 52)).withColumn("b2", F.shiftrightunsigned("u", 40) % 4096)
 
     def edge(binned: DataFrame, gaps: DataFrame, b: str) -> DataFrame:
@@ -155,16 +179,5 @@ def _chosen(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     fit = last.where("sum <= rest")
     filled = fit.groupBy("p").agg(F.max("sum").alias("sum"))
     left = at.join(filled, "p", "left").select("p", (F.col("rest") - F.coalesce("sum", F.lit(0))).alias("gap"))
-    # One document of each size is enough to choose from.
     later = rows.where("b1 > b1_at or (b1 = b1_at and b2 > b2_at)").select("p", "row", "size", "u").union(last.where("sum > rest").select("p", "row", "size", "u"))
-    later = later.join(left, "p").where("size <= gap").groupBy("p", "size", "gap").agg(F.min_by("row", F.struct("u", "row")).alias("row"))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        gap, got = int(pdf["gap"].iloc[0]) if len(pdf) else 0, []
-        for size, row in sorted(zip(pdf["size"], pdf["row"], strict=True), reverse=True):
-            if size <= gap:
-                gap -= size
-                got.append(row)
-        return pd.DataFrame({"row": pd.Series(got, dtype="int64")})
-
-    return full.union(fit.select("row")).union(later.groupBy("p").applyInPandas(fill, "row long"))
+    return full.union(fit.select("row")), later.join(left, "p").where("size <= gap")

@@ -143,6 +143,15 @@ def test_mixing_flow_with_overlap(spark):
     assert len(got) == 40 and abs(got["taken"].sum() - 120) <= 6
 
 
+def test_mixing_fills_a_long_documents_gap(spark):
+    rows = [(i, "w " * 100, s) for s in "ab" for i in range(200)] + [(200 + i, "w " * 15_000, s) for s in "ab" for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(3):
+        got = mixing.mix(df, weights=(4, 3), seed=seed, keep=("source",)).toPandas().groupby("source")
+        taken, target = got["taken"].sum(), got["target"].first()
+        assert (taken <= target).all() and (taken > target - 100).all(), (seed, taken, target)
+
+
 def test_packing(docs, odd):
     for df in (docs, odd):
         got = packing.pack(df, capacity=512, shard=64).toPandas()
