@@ -30,11 +30,11 @@ _NAMED = re.compile(
 _HEADER = re.compile(r"(?i)(?:^|[\s_-])(?:header|topbar|site-header)(?=$|[\s_-])")
 _HELD = re.compile(r"""(?i)\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _MAIN = re.compile(r"(?i)(?:^|\s)(?:main|article|articlebody)(?=$|\s)")
-SITE, PLAIN, MAIN = 0, 1, 2
+SITE, PLAIN, MAIN, WRAP = 0, 1, 2, 3
 
 
 def lines(page: str) -> list[tuple[int, str]]:
-    """The text blocks of a page in order, each with where it stands: in the site's furniture, in none of either, or in an article."""
+    """The text blocks of a page in order, each with where it stands: in the site's furniture, in none of these, in an article element, or in what is only named the main part."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements and the zone inside
     zone, parts, at, n = PLAIN, [], 0, len(page)
@@ -82,11 +82,12 @@ def lines(page: str) -> list[tuple[int, str]]:
             continue
         inner = zone
         held = " ".join(a or b or c for a, b, c in _HELD.findall(m["rest"])) if "=" in m["rest"] else ""
-        if name in ("article", "main") or (held and zone != MAIN and _MAIN.search(held)):
+        inside = zone in (MAIN, WRAP)
+        if name in ("article", "main") or (held and not inside and _MAIN.search(held)):
             # An article inside an unclosed menu is the page's; one inside comments is a reader's.
             if zone != SITE or not any(z == SITE and k in ("div", "section", "ol", "ul", "li") for k, z in stack):
-                inner = MAIN
-        if name in _SITE or (name == "header" and zone != MAIN) or (held and (_NAMED.search(held) or (zone != MAIN and _HEADER.search(held)))):
+                inner = MAIN if name == "article" or zone == MAIN else WRAP
+        if name in _SITE or (name == "header" and not inside) or (held and (_NAMED.search(held) or (not inside and _HEADER.search(held)))):
             inner = SITE
         if inner != zone or name in _BLOCK:
             if inner != zone:
@@ -144,7 +145,7 @@ def extract(pages: DataFrame, neighbours: int = 1) -> DataFrame:
     Text: blocks in page order, joined by a line feed, references decoded, white space inside a block one space. A null or empty html gives an empty
     text; a null url stands for a host without a name. n_chars counts code points. Pages are range-partitioned by host, path and page_id, so a host of
     many pages spreads over many tasks; the first page of a task has its later neighbour only. Of a page without an article element, all but the
-    site's furniture is compared; if nothing would be left, as between mirrored pages, what is shared stays. Repeated rows are extracted each; an
+    site's furniture is compared, a main element or what is named main or article too; if nothing would be left, as between mirrored pages, what is shared stays. Repeated rows are extracted each; an
     empty table gives no rows; columns other than page_id, url and html aren't read.
     """
 

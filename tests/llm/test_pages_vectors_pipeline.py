@@ -37,6 +37,14 @@ def test_extract(spark):
     assert html.extract(df).count() == 8 and html.extract(df.limit(0)).count() == 0
 
 
+def test_shared_lines_in_wrappers_go(spark):
+    heads = ["<main>", "<div id=main>", '<div class="article">', '<section role="main">', '<div itemprop="articleBody">']
+    rows = [(10 * h + i, f"http://{h}.x/{i}", f"<body>{head}<header><p>Head {i}</p></header><p>Site line</p><p>Body {i}</p>") for h, head in enumerate(heads) for i in range(2)]
+    rows += [(90 + i, f"http://z.x/{i}", f"<main><p>Site line</p><article><p>Mirrored</p><p>Own {i}</p></article></main>") for i in range(2)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got == {10 * h + i: f"Head {i}\nBody {i}" for h in range(5) for i in range(2)} | {90 + i: f"Mirrored\nOwn {i}" for i in range(2)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a.x/", PAGE), (2, None, None), (3, "http://é.x/", "é" * 50)], "page_id long, url string, html string")
     source = warc.responses(df)
