@@ -14,7 +14,11 @@ from bisect import bisect_left
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
 
 _TAG = re.compile(r"""<(?:!--(?P<note>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)>?|(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*)(?:>|\Z))""", re.S)
 # Element names, and words of class, id and role attributes.
@@ -144,7 +148,8 @@ def extract(pages: DataFrame, neighbours: int = 1) -> DataFrame:
 
     Text: blocks in page order, joined by a line feed, references decoded, white space inside a block one space. A null or empty html gives an empty
     text; a null url stands for a host without a name. n_chars counts code points. Pages are range-partitioned by host, path and page_id, so a host of
-    many pages spreads over many tasks; the first page of a task has its later neighbour only. Of a page without an article element, all but the
+    many pages spreads over many tasks; the first and last pages of each task are compared with those of the tasks beside it on the driver, by their
+    lines' hashes. Of a page without an article element, all but the
     site's furniture is compared, a main element or what is named main or article too; if nothing would be left, as between mirrored pages, what is shared stays. Repeated rows are extracted each; an
     empty table gives no rows; columns other than page_id, url and html aren't read.
     """
@@ -165,27 +170,36 @@ def extract(pages: DataFrame, neighbours: int = 1) -> DataFrame:
                 ["page_id", "url", "host", "path", "marks", "zones", "packed"],
             )
 
+    fields = ("page_id", "url", "host", "marks", "zones", "packed")
+    kinds = "page_id long, url string, host string, marks array<long>, zones binary, packed binary"
+
+    def finished(zones, packed, shared):
+        texts = zlib.decompress(packed).decode().split("\n") if zones else []
+        kept = [i for i, z in enumerate(zones) if z != SITE]
+        main = any(z == MAIN for z in zones)
+        use = [t for i, t in zip(kept, texts, strict=False) if zones[i] == MAIN or (not main and i not in shared)]
+        if not use and kept and not main:
+            use = texts
+        return "\n".join(use)
+
     def difference(batches):
-        held: list[tuple] = []  # (page_id, url, host, marks, zones, packed, shared)
-
-        def done(row):
-            page_id, url, _, _, zones, packed, shared = row
-            texts = zlib.decompress(packed).decode().split("\n") if zones else []
-            kept = [i for i, z in enumerate(zones) if z != SITE]
-            main = any(z == MAIN for z in zones)
-            use = [t for i, t in zip(kept, texts, strict=False) if zones[i] == MAIN or (not main and i not in shared)]
-            if not use and kept and not main:
-                use = texts
-            return page_id, url, "\n".join(use)
+        """Pages with their text; the first and last ones without it, for they have neighbours in other tasks, but with what it is made of."""
+        part, held, place = TaskContext.get().partitionId(), [], 0
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+        names = ["page_id", "url", "text", "n_chars", "part", "place", "host", "marks", "zones", "packed", "shared"]
 
         def batch(rows):
-            text = [t for _, _, t in rows]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            out = []
+            for (page_id, url, host, marks, zones, packed, shared, at), edge in rows:
+                text = None if edge else finished(zones, packed, shared)
+                out.append((page_id, url, None, None, part, at, host, marks, zones, packed, sorted(shared)) if edge else (page_id, url, text, len(text), *[None] * 7))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], names)
 
         for b in batches:
             out = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "marks", "zones", "packed")), strict=True):
-                now = (*row, set())
+            for row in zip(*(b.column(c).to_pylist() for c in fields), strict=True):
+                now = (*row, set(), place)
+                place += 1
                 for before in held:
                     if before[2] == now[2]:
                         i, j = common(before[3], now[3])
@@ -193,10 +207,30 @@ def extract(pages: DataFrame, neighbours: int = 1) -> DataFrame:
                         now[6].update(j)
                 held.append(now)
                 if len(held) > neighbours:
-                    out.append(done(held.pop(0)))
+                    out.append((first := held.pop(0), first[7] < neighbours))
             yield batch(out)
-        yield batch([done(r) for r in held])
+        yield batch([(row, True) for row in held])
+
+    def finish(batches):
+        for b in batches:
+            text = [finished(z, p, {*s, *(m or ())}) for z, p, s, m in zip(*(b.column(c).to_pylist() for c in ("zones", "packed", "shared", "more")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     parsed = pages.select("page_id", "url", "html").mapInArrow(parse, "page_id long, url string, host string, path string, marks array<long>, zones binary, packed binary")
     order = ["host", "path", "page_id"]
-    return parsed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    found = parsed.repartitionByRange(*order).sortWithinPartitions(*order).select(*fields).mapInArrow(difference, f"page_id long, url string, text string, n_chars long, part int, place long, {kinds.split(', ', 2)[2]}, shared array<int>")
+    found = written(found, "differenced", "zstd")
+    edges = found.where("part is not null")
+    # At most 2 * neighbours rows of each task.
+    rows = edges.select("part", "place", "host", "marks").orderBy("part", "place").collect() if neighbours else []
+    more: list[set[int]] = [set() for _ in rows]
+    for n, now in enumerate(rows):
+        for k in range(max(0, n - neighbours), n):
+            if rows[k]["part"] != now["part"] and rows[k]["host"] == now["host"]:
+                i, j = common(rows[k]["marks"], now["marks"])
+                more[k].update(i)
+                more[n].update(j)
+    add = [(r["part"], r["place"], sorted(m)) for r, m in zip(rows, more, strict=True) if m]
+    add = pages.sparkSession.createDataFrame(add, "part int, place long, more array<int>")
+    ends = edges.join(add.hint("merge"), ["part", "place"], "left").select("page_id", "url", "zones", "packed", "shared", "more").mapInArrow(finish, "page_id long, url string, text string, n_chars long")
+    return found.where("part is null").select("page_id", "url", "text", "n_chars").union(ends)

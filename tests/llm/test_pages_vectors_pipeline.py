@@ -45,6 +45,30 @@ def test_shared_lines_in_wrappers_go(spark):
     assert got == {10 * h + i: f"Head {i}\nBody {i}" for h in range(5) for i in range(2)} | {90 + i: f"Mirrored\nOwn {i}" for i in range(2)}
 
 
+@pytest.mark.parametrize("neighbours", [1, 2])
+def test_extract_does_not_depend_on_partitions(spark, neighbours):
+    rng = np.random.default_rng(3)
+    rows, n = [], 0
+    for h in range(30):  # many hosts of two pages, one of twenty
+        for i in range(20 if h == 7 else 2):
+            n += 1
+            shared = "".join(f"<p>Line {k}</p>" for k in sorted(rng.choice(6, 4, replace=False)))
+            rows.append((n, f"http://{h:02}.x/{i:02}", f"<body><p>Site {h}</p>{shared}<p>Body {n}</p>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    got = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 7, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got.append(sorted(map(tuple, html.extract(df, neighbours).collect())))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(got[0]) == len(rows) and not any("Site" in text for _, _, text, _ in got[0])
+    assert got[0] == got[1] == got[2]
+
+
 def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a.x/", PAGE), (2, None, None), (3, "http://é.x/", "é" * 50)], "page_id long, url string, html string")
     source = warc.responses(df)
