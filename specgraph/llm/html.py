@@ -2,7 +2,8 @@
 
 Pages are sorted by path within their host; each is aligned with its neighbours by a longest common subsequence of text lines, and what they share is
 deleted: it is the site's, not the page's. Two things differencing alone gets wrong. Menus and notices that differ from page to page stay, so what the
-markup itself names as such goes first. And mirrored articles are shared lines too, so lines inside an article element are never deleted.
+markup itself names as such goes first. And mirrored articles are shared lines too, so lines inside an article element are never deleted. Of all other
+lines, on every page, the differencing decides.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from bisect import bisect_left
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -104,33 +104,64 @@ def lines(page: str) -> list[tuple[int, str]]:
     return out
 
 
+#: Bits that a comparison keeps at once: longer pages are split first.
+KEPT = 1 << 28
+
+
+def _rows(a: list[int], b: list[int], every: bool) -> list[int]:
+    """Bit j of a row is 0 where one more element of b[: j + 1] joins a longest common subsequence with the elements of a so far; the last row, or every one."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, kept = full, []
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+        if every:
+            kept.append(row)
+    return kept if every else [row]
+
+
+def _lengths(row: int, n: int) -> list[int]:
+    """The length of the common subsequence with each prefix, the empty one first."""
+    out = [0]
+    for bit in reversed(bin(row | 1 << n)[3:]) if n else ():
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _aligned(a: list[int], b: list[int], i: int, j: int) -> list[tuple[int, int]]:
+    """Pairs of positions, from i and j on, of a longest common subsequence of a and b."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > KEPT and len(a) > 1:
+        half, n = len(a) // 2, len(b)
+        head, tail = _lengths(_rows(a[:half], b, False)[0], n), _lengths(_rows(a[:half - 1 : -1], b[::-1], False)[0], n)
+        cut = max(range(n + 1), key=lambda k: head[k] + tail[n - k])
+        return _aligned(a[:half], b[:cut], i, j) + _aligned(a[half:], b[cut:], i + half, j + cut)
+    rows, found = _rows(a, b, True), []
+    r, c = len(a), len(b)
+    while r and c:
+        if rows[r - 1] >> (c - 1) & 1:
+            c -= 1
+        elif r > 1 and not rows[r - 2] >> (c - 1) & 1:
+            r -= 1
+        else:
+            r, c = r - 1, c - 1
+            found.append((i + r, j + c))
+    return found[::-1]
+
+
 def common(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Positions of a longest common subsequence in a and in b: the longest chain of matches, by Hunt and Szymanski."""
+    """Positions of a longest common subsequence in a and in b: bit-parallel rows, walked back; equal lines cost no more than others."""
     lo, top = 0, min(len(a), len(b))
     while lo < top and a[lo] == b[lo]:
         lo += 1
     end = 0
     while end < top - lo and a[-1 - end] == b[-1 - end]:
         end += 1
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - end - 1, lo - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    last: list[tuple] = []
-    for i in range(lo, len(a) - end):
-        for j in where.get(a[i], ()):
-            k = bisect_left(tails, j)
-            link = (i, j, last[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                last.append(link)
-            else:
-                tails[k], last[k] = j, link
-    chain, link = [], last[-1] if last else None
-    while link:
-        chain.append(link[:2])
-        link = link[2]
-    pairs = [(i, i) for i in range(lo)] + chain[::-1] + [(len(a) - end + i, len(b) - end + i) for i in range(end)]
+    pairs = [(i, i) for i in range(lo)] + _aligned(a[lo : len(a) - end], b[lo : len(b) - end], lo, lo) + [(len(a) - end + i, len(b) - end + i) for i in range(end)]
     return [i for i, _ in pairs], [j for _, j in pairs]
 
 
@@ -149,9 +180,9 @@ def extract(pages: DataFrame, neighbours: int = 1) -> DataFrame:
     Text: blocks in page order, joined by a line feed, references decoded, white space inside a block one space. A null or empty html gives an empty
     text; a null url stands for a host without a name. n_chars counts code points. Pages are range-partitioned by host, path and page_id, so a host of
     many pages spreads over many tasks; the first and last pages of each task are compared with those of the tasks beside it on the driver, by their
-    lines' hashes. Of a page without an article element, all but the
-    site's furniture is compared, a main element or what is named main or article too; if nothing would be left, as between mirrored pages, what is shared stays. Repeated rows are extracted each; an
-    empty table gives no rows; columns other than page_id, url and html aren't read.
+    lines' hashes. What neighbours share goes, but for lines inside an article element (a main element, or main or article as a class, id or role, is no
+    exception); if nothing would be left, as between mirrored pages, what is shared stays. Repeated rows are extracted each; a page of any length is
+    read whole; an empty table gives no rows; columns other than page_id, url and html aren't read.
     """
 
     def parse(batches):
@@ -176,10 +207,7 @@ def extract(pages: DataFrame, neighbours: int = 1) -> DataFrame:
     def finished(zones, packed, shared):
         texts = zlib.decompress(packed).decode().split("\n") if zones else []
         kept = [i for i, z in enumerate(zones) if z != SITE]
-        main = any(z == MAIN for z in zones)
-        use = [t for i, t in zip(kept, texts, strict=False) if zones[i] == MAIN or (not main and i not in shared)]
-        if not use and kept and not main:
-            use = texts
+        use = [t for i, t in zip(kept, texts, strict=False) if zones[i] == MAIN or i not in shared] or texts
         return "\n".join(use)
 
     def difference(batches):
