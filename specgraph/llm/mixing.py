@@ -36,20 +36,11 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
     """How many words each pattern gives each of its sources.
 
     patterns: (sources, size). A minimum-cost flow by successive shortest paths: start -> pattern by one arc per repetition, whose costs 0, 1, 2, ...
-    are convex, pattern -> each of its sources, source -> end by its quota. Patterns of one source need no search; they are routed first where nothing
-    else can serve their source. The graph holds patterns and sources only, never documents.
+    are convex, pattern -> each of its sources, source -> end by its quota. The graph holds patterns and sources only, never documents; each path
+    fills an arc, so there are no more paths than arcs.
     """
     n, m = len(patterns), len(quotas)
-    shared = {s for of, _ in patterns if len(of) > 1 for s in of}
     give: list[dict[int, int]] = [{} for _ in patterns]
-    left = list(quotas)
-    rest = []
-    for i, (of, size) in enumerate(patterns):
-        if len(of) == 1 and of[0] not in shared:
-            give[i][of[0]] = min(left[of[0]], most * size)
-            left[of[0]] -= give[i][of[0]]
-        else:
-            rest.append(i)
     head: list[int] = []
     room: list[int] = []
     cost: list[int] = []
@@ -63,14 +54,14 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
             room.append(k)
             cost.append(z)
 
-    for i in rest:
+    for i in range(n):
         for r in range(most):
             arc(begin, i, patterns[i][1], r)
         for s in patterns[i][0]:
             arc(i, n + s, most * patterns[i][1], 0)
-    for s in shared:
-        arc(n + s, end, left[s], 0)
-    while rest:
+    for s in range(m):
+        arc(n + s, end, quotas[s], 0)
+    while True:
         dist, by, queue, waits = {begin: 0}, {}, deque([begin]), {begin}
         while queue:
             a = queue.popleft()
@@ -91,7 +82,7 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
         for e in path:
             room[e] -= push
             room[e ^ 1] += push
-    for i in rest:
+    for i in range(n):
         for e in out[i]:
             if e % 2 == 0 and n <= head[e] < n + m and room[e ^ 1]:
                 give[i][head[e] - n] = room[e ^ 1]
