@@ -4,7 +4,8 @@ A column-wise construction over whole documents takes as many rounds as the long
 what needs it. Every string of LENGTH bytes contains an anchor, a piece of PIECE bytes picked by the string's own content (the least hash in it), so
 equal strings share their anchor. (1) Where an anchor occurs once, nothing repeats. (2) Where occurrences of an anchor agree in all strings that it was
 picked for, all of these repeat. (3) What remains, the borders of repeats, is cut into groups that share a core of CORE bytes; the transform and the
-common prefixes of each group's strings, with the core as one symbol, say which of them begin with LENGTH bytes that occur elsewhere.
+common prefixes of each group's strings, with the core as one symbol, say which of them begin with LENGTH bytes that occur elsewhere. A group of more
+than HOT rows is parted first, by further symbols of its strings: half of what a string has beside the core joins the core, on the left or on the right.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import IdFilter, Rolling, bytes_of, mix, slices, written
 
 LENGTH, PIECE, STEP = 400, 128, 50
 CORE = LENGTH - STEP + 1
-#: Groups of more rows count their strings instead, spread by the strings; rows of one construction.
+#: Groups of more rows are parted by longer cores before they are ordered; rows of one construction.
 HOT, TOGETHER = 20_000, 4096
 _BITS = 21
 
@@ -100,21 +101,51 @@ def _cut(batches):
                     d0, d1 = max(p - s1, g * STEP), min(p - s0, g * STEP + STEP - 1)
                     a = p - g * STEP
                     core = hashlib.blake2b(text[a : a + CORE] + bytes((g,)), digest_size=16).digest()
-                    for k, v in enumerate((int.from_bytes(core[:8], "little", signed=True), core, text[p - d1 : a], text[a + CORE : p - d0 + LENGTH], rid, p - d1, p - d0, x["need"])):
+                    for k, v in enumerate((core, LENGTH - CORE, text[p - d1 : a], text[a + CORE : p - d0 + LENGTH], rid, p - d1, p - d0, x["need"])):
                         out[k].append(v)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["g", "core", "left", "right", "rid", "a", "z", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, _CUT_TYPES, strict=True)], _CUT_NAMES)
+
+
+#: core: a digest of the group's core and all that it was made of; more: the bytes that a string has beside it; a, z: the first and last start.
+CUT = "core binary, more int, left binary, right binary, rid long, a long, z long, need boolean"
+_CUT_NAMES = [x.split()[0] for x in CUT.split(", ")]
+_CUT_TYPES = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+
+
+def parted(core: bytes, more: int, left: bytes, right: bytes, a: int, z: int):
+    """A row's strings by longer cores: those with `half` bytes or more left of the core, and the others, which have the rest right of it."""
+    half = (more + 1) // 2
+    most, least = len(left), len(left) - (z - a)  # bytes left of the core, in the row's first and last string
+    if most >= half:
+        stop = max(least, half)
+        yield hashlib.blake2b(core + b"<" + left[most - half :], digest_size=16).digest(), more - half, left[: most - half], right[: more - stop], a, a + most - stop
+    if least < half:
+        begin = min(most, half - 1)
+        side = more - half + 1
+        yield hashlib.blake2b(core + b">" + right[:side], digest_size=16).digest(), half - 1, left[most - begin :], right[side:], z - (begin - least), z
+
+
+def _part(batches):
+    for b in batches:
+        out: list[list] = [[] for _ in range(8)]
+        for x in b.to_pylist():
+            for core, more, left, right, a, z in parted(x["core"], x["more"], x["left"], x["right"], x["a"], x["z"]):
+                for k, v in enumerate((core, more, left, right, x["rid"], a, z, x["need"])):
+                    out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, _CUT_TYPES, strict=True)], _CUT_NAMES)
 
 
 def _repeated(rows: list[dict]) -> list[list[int]]:
     """Per row, the starts (from its first) whose LENGTH bytes another row of the same core has too."""
     cores: dict[bytes, int] = {}
-    strings = []
+    strings, longs = [], []
     for x in rows:
         c = cores.setdefault(x["core"], 257 + len(cores))
+        if len(cores) > len(longs):
+            longs.append(LENGTH - x["more"])
         strings.append(np.concatenate((np.frombuffer(x["left"], np.uint8).astype(np.uint32) + 1, [c], np.frombuffer(x["right"], np.uint8).astype(np.uint32) + 1)))
     weights = np.ones(257 + len(cores), np.int32)
-    weights[257:] = CORE
+    weights[257:] = longs
     built = Columns(strings, weights).build()
     _, lcp, names = built.read()
     starts = built.ends - built.sizes
@@ -140,7 +171,8 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
 
 
 def _order(batches):
-    """Rows come sorted by g, all of one g in one task."""
+    """Rows come sorted by core, all of one core in one task."""
+
     def solve(rows):
         got = [(r["rid"], r["a"] + a, r["a"] + z + LENGTH) for r, s in zip(rows, _repeated(rows), strict=True) if r["need"] for a, z in _runs(s)]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in range(3)], ["rid", "a", "z"])
@@ -148,7 +180,7 @@ def _order(batches):
     held: list[dict] = []
     for b in batches:
         for x in b.to_pylist():
-            if len(held) >= TOGETHER and x["g"] != held[-1]["g"]:
+            if len(held) >= TOGETHER and x["core"] != held[-1]["core"]:
                 yield solve(held)
                 held = []
             held.append(x)
@@ -156,25 +188,13 @@ def _order(batches):
         yield solve(held)
 
 
-def _windows(batches):
-    """Every string of rows of large groups by its hash: the core and where it stands in the string, and what is left and right of it."""
-    for b in batches:
-        rows = []
-        for x in b.to_pylist():
-            for k in range(x["z"] - x["a"] + 1):
-                left = x["left"][k:]
-                text = x["core"] + bytes((len(left),)) + left + x["right"][: LENGTH - CORE - len(left)]
-                rows.append((int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True), x["rid"], x["a"] + k, x["need"]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.bool_() if k == 3 else pa.int64()) for k in range(4)], ["w", "rid", "a", "need"])
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of [start, end) byte runs) of every row.
 
     A byte goes if a string of LENGTH bytes that covers it starts anywhere else too: in another row, or in its own (overlaps count). Texts are UTF-8
     bytes, a null text is empty; strings never cross rows. Repeated rows repeat each other. A null doc_id is a value like any other. An empty table
     gives no rows; columns other than doc_id and text aren't read. Hashes of 64 bits for anchors and again for their strings stand for their bytes in
-    steps 1 and 2, and of 128 bits for cores.
+    steps 1 and 2, and of 128 bits for cores. A text of any length is read whole, in chunks of 2 MB. However many rows share a core, a task orders HOT + TOGETHER of them at most.
     """
     docs = _keyed(docs)
     found = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, "rid long, p long, s0 long, s1 long, piece long, whole long")
@@ -188,15 +208,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     full = mixed.join(kinds.where("n > 1").select("piece", "whole"), ["piece", "whole"])
     border = kinds.select("one.*", (F.col("n") == 1).alias("need")).groupBy("rid").agg(F.collect_list(F.struct("p", "s0", "s1", "need")).alias("found"))
     texts = IdFilter(border.select(F.col("rid").alias("id"))).keep(docs, "rid")
-    cut = written(texts.join(border, "rid").select("rid", "text", "found").mapInArrow(_cut, "g long, core binary, left binary, right binary, rid long, a long, z long, need boolean"), "cut")
-    groups = cut.groupBy("g").agg(F.count("*").alias("n"), F.max("need").alias("any")).where("n > 1 and any").select("g", "n")
-    some = cut.join(groups, "g")
+    cut = written(texts.join(border, "rid").select("rid", "text", "found").mapInArrow(_cut, CUT), "cut")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_order = some.where(F.col("n") <= HOT).repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_order, "rid long, a long, z long")
-    strings = some.where(F.col("n") > HOT).mapInArrow(_windows, "w long, rid long, a long, need boolean")
-    counted = strings.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    by_count = strings.join(counted, "w").where("need").select("rid", "a", (F.col("a") + LENGTH).alias("z"))
-    spans = span(marked.where("same")).union(span(full)).select("rid", F.col("a").cast("long").alias("a"), F.col("z").cast("long").alias("z")).union(by_order).union(by_count)
+    spans = span(marked.where("same")).union(span(full)).select("rid", F.col("a").cast("long").alias("a"), F.col("z").cast("long").alias("z"))
+    while True:
+        groups = cut.groupBy("core").agg(F.count("*").alias("n"), F.max("need").alias("any"), F.min("more").alias("more")).where("n > 1 and any").select("core", "n", "more")
+        groups = written(groups, "groups")
+        of = lambda some, cut=cut, groups=groups: cut.join(groups.where(some).select("core"), "core")
+        spans = spans.union(of(f"more > 0 and n <= {HOT}").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(_order, "rid long, a long, z long"))
+        # Nothing beside the core: the group's rows are one string.
+        spans = spans.union(of("more = 0").where("need").select("rid", "a", (F.col("a") + LENGTH).alias("z")))
+        if groups.where(f"more > 0 and n > {HOT}").isEmpty():
+            break
+        cut = written(of(f"more > 0 and n > {HOT}").mapInArrow(_part, CUT), "cut")
     spans = written(spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans")), "spans")
     touched = IdFilter(spans.select(F.col("rid").alias("id")))
 
