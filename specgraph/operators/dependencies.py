@@ -23,19 +23,57 @@ def legacy(edges: DataFrame, contracts: DataFrame) -> DataFrame:
     return j.select("from_repo", "to_repo", kind.alias("type"), "contract_id", "evidence_id", F.least("c", "d").alias("confidence"))
 
 
-DIRECTION = {"CONSUMES_API": ("api", False), "PUBLISHES": ("event", True), "SUBSCRIBES": ("event", False), "CALLS_RPC": ("api", False), "USES_SCHEMA": ("shared-contract", False)}
+#: The rule of evidence that makes a package dependency an import.
+IMPORT_RULE = "import-specifier-package-owner"
+
+
+def by_evidence(edges: DataFrame, contracts: DataFrame) -> DataFrame:
+    """from_repo, to_repo, type, source_contract, target_contract, evidence_id, confidence: a row for each evidence of a consumer and each producing repository.
+
+    edges: contract_id, repo_id, role, evidence_id, rule, confidence, active; contracts: contract_id, kind, key. An api key without a method also meets
+    keys with one on its path, either way, at 0.6 at most. Of rows with one (from, to, type, evidence) that of the last contract stays.
+    """
+    kinds = contracts.select("contract_id", "kind", F.regexp_replace("key", "^[A-Z]+:", "").alias("bare"), F.col("key").rlike("^[A-Z]+:").alias("with_method"))
+    live = edges.where(is_active(F.col("active"))).join(kinds, "contract_id")
+    used = live.where("role in ('consumer', 'shared')").select("contract_id", "kind", "bare", "with_method", F.col("repo_id").alias("from_repo"), "evidence_id", "rule", "confidence")
+    made = live.where("role in ('producer', 'owner', 'shared')").select("contract_id", "kind", "bare", "with_method", F.col("repo_id").alias("to_repo")).distinct()
+    kind = F.when(F.col("kind").isin("api", "event"), F.col("kind")).when(F.col("kind") == "package", F.when(F.col("rule") == IMPORT_RULE, "import").otherwise("package")).otherwise("shared-contract")
+    same = used.join(made.select("contract_id", "to_repo"), "contract_id").where("from_repo <> to_repo")
+    same = same.select("from_repo", "to_repo", kind.alias("type"), F.col("contract_id").alias("source_contract"), F.col("contract_id").alias("target_contract"), "evidence_id", "confidence")
+    api = made.where("kind = 'api'").select("bare", F.col("with_method").alias("m"), F.col("contract_id").alias("target_contract"), "to_repo")
+    bridge = used.where("kind = 'api'").join(api, "bare").where("with_method <> m and from_repo <> to_repo")
+    bridge = bridge.select("from_repo", "to_repo", F.lit("api").alias("type"), F.col("contract_id").alias("source_contract"), "target_contract", "evidence_id", F.least("confidence", F.lit(0.6)).alias("confidence"))
+    last = F.max(F.struct("source_contract", "target_contract", "confidence")).alias("l")
+    return same.unionByName(bridge).groupBy("from_repo", "to_repo", "type", "evidence_id").agg(last).select("from_repo", "to_repo", "type", "l.source_contract", "l.target_contract", "evidence_id", "l.confidence")
+
+
+# What a relation means for repositories, whether it points the other way, and how an impact runs along it.
+KINDS = {
+    "CALLS_ENDPOINT": ("api", False, "consumer-to-producer"), "SUBSCRIBES_EVENT": ("event", False, "consumer-to-producer"), "PUBLISHES_EVENT": ("event", True, "consumer-to-producer"),
+    "USES_SCHEMA": ("shared-contract", False, "schema-to-use"), "REQUEST_SCHEMA": (None, False, "schema-to-use"), "RESPONSE_SCHEMA": (None, False, "schema-to-use"), "EVENT_PAYLOAD": (None, False, "schema-to-use"),
+    "IMPLEMENTS": (None, False, "intra-spec"), "COMPATIBLE_WITH": (None, False, "intra-spec"), "BREAKS": (None, False, "intra-spec"), "IMPACTS": (None, False, "intra-spec"),
+}
+TURNED = [k for k, (_, back, _) in KINDS.items() if back]
 
 
 def semantic(relations: DataFrame, specs: DataFrame) -> DataFrame:
-    """from_repo, to_repo, type, source_contract, target_contract, confidence out of spec relations; PUBLISHES points the other way, other kinds are left out."""
-    meta = F.create_map(*[x for k, (t, _) in DIRECTION.items() for x in (F.lit(k), F.lit(t))])
-    turned = F.col("kind").isin([k for k, (_, back) in DIRECTION.items() if back])
+    """from_repo, to_repo, type, source_contract, target_contract, evidence_id, confidence out of spec relations, across repositories only.
+
+    PUBLISHES_EVENT points the other way; kinds that mean nothing for repositories are left out. One row of each (from, to, type, contracts), with the
+    least evidence and the best confidence.
+    """
+    typed = {k: t for k, (t, _, _) in KINDS.items() if t}
+    meta = F.create_map(*[x for k, t in typed.items() for x in (F.lit(k), F.lit(t))])
+    turned = F.col("kind").isin(TURNED)
     a = specs.select(F.col("spec_id").alias("from_spec"), F.col("repo_id").alias("a_repo"), F.col("contract_id").alias("a_contract"))
     b = specs.select(F.col("spec_id").alias("to_spec"), F.col("repo_id").alias("b_repo"), F.col("contract_id").alias("b_contract"))
-    j = relations.where(F.col("kind").isin(list(DIRECTION))).join(a, "from_spec").join(b, "to_spec").where("a_repo <> b_repo")
+    j = relations.where(F.col("kind").isin(list(typed))).join(a, "from_spec").join(b, "to_spec").where("a_repo <> b_repo")
     pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
-    out = j.select(pick("a_repo", "b_repo").alias("from_repo"), pick("b_repo", "a_repo").alias("to_repo"), meta[F.col("kind")].alias("type"), pick("a_contract", "b_contract").alias("source_contract"), pick("b_contract", "a_contract").alias("target_contract"), "confidence")
-    return out.groupBy("from_repo", "to_repo", "type", "source_contract", "target_contract").agg(F.max("confidence").alias("confidence"))
+    out = j.select(
+        pick("a_repo", "b_repo").alias("from_repo"), pick("b_repo", "a_repo").alias("to_repo"), meta[F.col("kind")].alias("type"),
+        pick("a_contract", "b_contract").alias("source_contract"), pick("b_contract", "a_contract").alias("target_contract"), "evidence_id", "confidence",
+    )
+    return out.groupBy("from_repo", "to_repo", "type", "source_contract", "target_contract").agg(F.min("evidence_id").alias("evidence_id"), F.max("confidence").alias("confidence"))
 
 
 def merged(first: DataFrame, second: DataFrame, by: list[str]) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Producers matched with consumers across repositories."""
+"""Producers matched with consumers across repositories.
+
+Specs come with a role: 'owner' counts as a producer, 'shared' as both sides. A spec never matches its own repository.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +11,35 @@ from pyspark.sql import functions as F
 
 from specgraph.functions import keys
 
+#: Of several roles that a repository has in a contract the first counts.
+ROLES = ("owner", "producer", "consumer", "shared")
+
+
+def with_roles(specs: DataFrame, edges: DataFrame) -> DataFrame:
+    """specs (contract_id, repo_id, …) and a column role: of the repository's edges to the contract the first in ROLES, 'shared' without any."""
+    rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
+    first = edges.groupBy("contract_id", "repo_id").agg(F.min(rank).alias("__rank"))
+    named = F.element_at(F.array(*map(F.lit, ROLES)), F.col("__rank").cast("int"))
+    return specs.join(first, ["contract_id", "repo_id"], "left").withColumn("role", F.coalesce(named, F.lit("shared"))).drop("__rank")
+
+
+def _sides(specs: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Producers and consumers, their columns prefixed p_ and c_."""
+    take = lambda side, roles: specs.where(F.col("role").isin(*roles)).select(*[F.col(x).alias(f"{side}_{x}") for x in columns])
+    return take("p", ("producer", "owner", "shared")), take("c", ("consumer", "shared"))
+
 
 def _segments(c) -> Column:
-    return F.split(F.regexp_replace(c, "^/", ""), "/")
+    return F.filter(F.split(c, "/"), lambda s: s != "")
+
+
+def _open(s: Column) -> Column:
+    return s.rlike(r"^\{.+\}$")
 
 
 def _fits(a: Column, b: Column) -> Column:
     """Whether two paths of equal length agree segment by segment, a template segment with anything."""
-    both = F.zip_with(_segments(a), _segments(b), lambda x, y: (x == y) | x.startswith("{") | y.startswith("{"))
+    both = F.zip_with(_segments(a), _segments(b), lambda x, y: (x == y) | _open(x) | _open(y))
     return (F.size(_segments(a)) == F.size(_segments(b))) & F.forall(both, lambda ok: ok)
 
 
@@ -26,65 +50,90 @@ def http(specs: DataFrame) -> DataFrame:
     begin with a template. The two branches don't overlap, so busy segments pair only specs of which one is a template.
     """
     specs = specs.withColumn("path", F.lower("path")).withColumn("bucket", keys.first_segment(F.col("path"))).withColumn("len", F.size(_segments(F.col("path"))))
-    c = specs.where("role = 'consumer'").select(*[F.col(x).alias(f"c_{x}") for x in specs.columns])
-    p = specs.where("role = 'producer'").select(*[F.col(x).alias(f"p_{x}") for x in specs.columns])
+    specs = specs.withColumn("open", F.exists(_segments(F.col("path")), _open))
+    p, c = _sides(specs, ("spec_id", "repo_id", "method", "path", "bucket", "len", "open"))
     equal = c.join(p, c.c_path == p.p_path)
-    open_c, open_p = F.col("c_path").contains("{"), F.col("p_path").contains("{")
     keyed_c = c.withColumn("b", F.explode(F.when(F.col("c_bucket") == "*", F.array(F.lit("**"))).otherwise(F.array("c_bucket", F.lit("*")))))
     keyed_p = p.withColumn("b", F.explode(F.array("p_bucket", F.lit("**"))))
-    near = keyed_c.join(keyed_p, (keyed_c.b == keyed_p.b) & (F.col("c_len") == F.col("p_len"))).where((open_c | open_p) & (F.col("c_path") != F.col("p_path")) & _fits(F.col("c_path"), F.col("p_path")))
+    near = keyed_c.join(keyed_p, (keyed_c.b == keyed_p.b) & (F.col("c_len") == F.col("p_len"))).where("(c_open or p_open) and c_path <> p_path").where(_fits(F.col("c_path"), F.col("p_path")))
     pairs = equal.unionByName(near.select(*equal.columns)).where("c_repo_id <> p_repo_id and (c_method = p_method or c_method is null or p_method is null)")
     same = F.col("c_path") == F.col("p_path")
-    kind = F.when(same & (F.col("c_method") == F.col("p_method")), "exact").when(same, "path-only").when(open_p & ~open_c, "static-to-template").otherwise("template-compatible")
+    # The classes and their confidence. What begins with a template falls into a class before 'wildcard', so that one stays empty.
+    kind = (
+        F.when(same & (F.col("c_method") == F.col("p_method")), "exact").when(same, "path-only").when(F.col("p_open") != F.col("c_open"), "static-to-template")
+        .when(F.col("p_open") & F.col("c_open"), "template-compatible").otherwise("wildcard")
+    )
     rank = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "path-only", 1).otherwise(2)
-    confidence = F.when(F.col("kind") == "exact", 0.95).when(F.col("kind") == "path-only", 0.75).otherwise(0.9)
+    confidence = F.when(F.col("kind") == "exact", 0.95).when(F.col("kind") == "path-only", 0.75).when(F.col("kind") == "wildcard", 0.8).otherwise(0.9)
     pairs = pairs.withColumn("kind", kind).withColumn("rank", rank).withColumn("best", F.min("rank").over(W.partitionBy("c_spec_id", "p_repo_id")))
     return pairs.where("rank = best").select(F.col("c_spec_id").alias("consumer"), F.col("p_spec_id").alias("producer"), "kind", confidence.alias("confidence")).distinct()
 
 
 def event(specs: DataFrame) -> DataFrame:
-    """from_spec, to_spec, kind, confidence: PUBLISHES and SUBSCRIBES of each producer and consumer of a topic in different repositories.
+    """from_spec, to_spec, kind, confidence: PUBLISHES_EVENT and SUBSCRIBES_EVENT of each producer and consumer of a topic in different repositories.
 
-    specs: spec_id, repo_id, role, topic, payload.
+    specs: spec_id, repo_id, role, topic, payload. One join; each pair then gives both edges.
     """
-    s = specs.withColumn("topic", keys.event_key(F.col("topic")))
-    p, c = (s.where(f"role = '{r}'").select(*[F.col(x).alias(f"{r[0]}_{x}") for x in ("spec_id", "repo_id", "topic", "payload")]) for r in ("producer", "consumer"))
+    p, c = _sides(specs.withColumn("topic", keys.event_key(F.col("topic"))), ("spec_id", "repo_id", "topic", "payload"))
     pairs = p.join(c, p.p_topic == c.c_topic).where("p_repo_id <> c_repo_id")
     conf = F.when(F.col("p_payload").isNotNull() & F.col("c_payload").isNotNull() & (F.col("p_payload") != F.col("c_payload")), 0.85).otherwise(0.95)
-    out = lambda a, b, k: pairs.select(F.col(a).alias("from_spec"), F.col(b).alias("to_spec"), F.lit(k).alias("kind"), conf.alias("confidence"))
-    return out("p_spec_id", "c_spec_id", "PUBLISHES").union(out("c_spec_id", "p_spec_id", "SUBSCRIBES"))
+    edge = lambda a, b, k: F.struct(F.col(a).alias("from_spec"), F.col(b).alias("to_spec"), F.lit(k).alias("kind"), conf.alias("confidence"))
+    return pairs.select(F.inline(F.array(edge("p_spec_id", "c_spec_id", "PUBLISHES_EVENT"), edge("c_spec_id", "p_spec_id", "SUBSCRIBES_EVENT"))))
 
 
-def rpc(specs: DataFrame, wildcard: bool = False) -> DataFrame:
-    """consumer, producer, confidence by service and method; packages may be missing (0.9) or differ (0.8). With wildcard a producer's '*' method fits all (0.6)."""
-    p, c = (specs.where(f"role = '{r}'").select(*[F.col(x).alias(f"{r[0]}_{x}") for x in ("spec_id", "repo_id", "package", "service", "method")]) for r in ("producer", "consumer"))
-    on = p.p_service == c.c_service
-    pairs = p.join(c, on if wildcard else on & (p.p_method == c.c_method)).where("p_repo_id <> c_repo_id")
+def rpc(specs: DataFrame) -> DataFrame:
+    """consumer, producer, confidence by service and method, whatever the packages: equal (or both missing) 0.95, one missing 0.9, different 0.8."""
+    p, c = _sides(specs, ("spec_id", "repo_id", "package", "service", "method"))
+    pairs = p.join(c, (p.p_service == c.c_service) & (p.p_method == c.c_method)).where("p_repo_id <> c_repo_id")
     conf = F.when(F.col("p_package").eqNullSafe(F.col("c_package")), 0.95).when(F.col("p_package").isNull() | F.col("c_package").isNull(), 0.9).otherwise(0.8)
-    if wildcard:
-        pairs = pairs.where("p_method = c_method or p_method = '*'")
-        conf = F.when(F.col("p_method") == "*", 0.6).otherwise(conf)
+    return pairs.select(F.col("c_spec_id").alias("consumer"), F.col("p_spec_id").alias("producer"), conf.alias("confidence"))
+
+
+def dubbo(specs: DataFrame) -> DataFrame:
+    """consumer, producer, confidence by interface (case and white space aside) and method; a missing or '*' method on either side fits every one (0.6).
+
+    specs: spec_id, repo_id, role, interface, method, group, version. Groups or versions that differ 0.8, one missing 0.9, equal 0.95. Named methods
+    meet on (interface, method); only open ones meet a whole interface.
+    """
+    blank = lambda c: F.when(F.trim(c) != "", c)
+    named = F.when(F.col("method") != "*", blank(F.col("method")))
+    specs = specs.withColumn("interface", F.lower(F.regexp_replace("interface", r"\s+", ""))).withColumn("method", named).withColumn("group", blank(F.col("group"))).withColumn("version", blank(F.col("version")))
+    p, c = _sides(specs, ("spec_id", "repo_id", "interface", "method", "group", "version"))
+    face = F.col("p_interface") == F.col("c_interface")
+    exact = p.where("p_method is not null").join(c, face & (F.col("p_method") == F.col("c_method")))
+    open_c = p.join(c.where("c_method is null"), face)
+    open_p = p.where("p_method is null").join(c.where("c_method is not null"), face)
+    pairs = exact.unionByName(open_c).unionByName(open_p).where("p_repo_id <> c_repo_id")
+    differ = F.coalesce((F.col("p_group") != F.col("c_group")), F.lit(False)) | F.coalesce((F.col("p_version") != F.col("c_version")), F.lit(False))
+    lacks = F.col("p_group").isNull() | F.col("c_group").isNull() | F.col("p_version").isNull() | F.col("c_version").isNull()
+    conf = F.when(F.col("p_method").isNull() | F.col("c_method").isNull(), 0.6).when(differ, 0.8).when(lacks, 0.9).otherwise(0.95)
     return pairs.select(F.col("c_spec_id").alias("consumer"), F.col("p_spec_id").alias("producer"), conf.alias("confidence"))
 
 
 def exact_key(specs: DataFrame) -> DataFrame:
     """consumer, producer of equal keys in different repositories."""
-    p, c = (specs.where(f"role = '{r}'").select(*[F.col(x).alias(f"{r[0]}_{x}") for x in ("spec_id", "repo_id", "key")]) for r in ("producer", "consumer"))
+    p, c = _sides(specs, ("spec_id", "repo_id", "key"))
     return p.join(c, p.p_key == c.c_key).where("p_repo_id <> c_repo_id").select(F.col("c_spec_id").alias("consumer"), F.col("p_spec_id").alias("producer"), F.lit(0.95).alias("confidence"))
 
 
 def schema_lookup(refs: DataFrame, schemas: DataFrame) -> DataFrame:
     """ref_id, spec_id: a name's schema, if after preferring equal case, then the same repository, exactly one is left.
 
-    refs: ref_id, repo_id, name; schemas: spec_id, repo_id, name.
+    refs: ref_id, repo_id, name; schemas: spec_id, repo_id, name. Schemas are counted per spelling and repository, and per spelling, before anything
+    meets them: a busy name costs a row for each of its spellings, not for each schema.
     """
-    s = schemas.select("spec_id", F.col("repo_id").alias("s_repo"), F.col("name").alias("s_name"))
-    j = refs.join(s, F.lower(refs.name) == F.lower(s.s_name)).withColumn("exact", (F.col("name") == F.col("s_name")).cast("int")).withColumn("own", (F.col("repo_id") == F.col("s_repo")).cast("int"))
-    one = j.groupBy("ref_id").agg(F.max("exact").alias("e"))
-    j = j.join(one, "ref_id").where("exact = e")
-    two = j.groupBy("ref_id").agg(F.max("own").alias("o"))
-    j = j.join(two, "ref_id").where("own = o")
-    return j.groupBy("ref_id").agg(F.count("*").alias("n"), F.min("spec_id").alias("spec_id")).where("n = 1").select("ref_id", "spec_id")
+    folded = F.lower("name").alias("__folded")
+    own = schemas.groupBy("name", "repo_id").agg(F.count("*").alias("n1"), F.min("spec_id").alias("s1"))
+    name = schemas.groupBy("name").agg(F.count("*").alias("n2"), F.min("spec_id").alias("s2"))
+    own_fold = schemas.groupBy(folded, "repo_id").agg(F.count("*").alias("n3"), F.min("spec_id").alias("s3"))
+    fold = schemas.groupBy(folded).agg(F.count("*").alias("n4"), F.min("spec_id").alias("s4"))
+    j = refs.select("ref_id", "repo_id", "name", folded).join(own, ["name", "repo_id"], "left").join(name, "name", "left").join(own_fold, ["__folded", "repo_id"], "left").join(fold, "__folded", "left")
+    one = lambda n, s: F.when(F.col(n) == 1, F.col(s))
+    found = (
+        F.when(F.col("n1").isNotNull(), one("n1", "s1")).when(F.col("n2").isNotNull(), one("n2", "s2"))
+        .when(F.col("n3").isNotNull(), one("n3", "s3")).otherwise(one("n4", "s4"))
+    )
+    return j.select("ref_id", found.alias("spec_id")).where("spec_id is not null").distinct()
 
 
 def best_edges(edges: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -92,8 +141,31 @@ def best_edges(edges: DataFrame, by: list[str], order: list[Column]) -> DataFram
     return edges.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def internal_calls(edges: DataFrame, specs: DataFrame) -> DataFrame:
-    """from_spec, to_spec, confidence: a consumer's spec of a matched pair calls, within its own file, specs of the same action."""
-    s = specs.select(F.col("spec_id").alias("t_spec"), F.col("repo_id").alias("t_repo"), F.col("file_id").alias("t_file"), F.col("action").alias("t_action"), F.col("kind").alias("t_kind"))
-    j = edges.join(specs, edges.to_spec == specs.spec_id).join(s, (F.col("t_repo") == F.col("repo_id")) & (F.col("t_file") == F.col("file_id")) & (F.col("t_action") == F.col("action")))
-    return j.where("t_spec <> to_spec and t_kind in ('http', 'event', 'graphql')").select(F.col("to_spec").alias("from_spec"), F.col("t_spec").alias("to_spec"), F.least("confidence", F.lit(0.75)).alias("confidence")).distinct()
+def action(kind: Column, key: Column, path: Column, topic: Column, event_name: Column) -> Column:
+    """What a spec does, by the last part of its path, method, field, event name or topic; lower case, null if there is none."""
+    last = lambda c, by: F.try_element_at(F.filter(F.split(F.substring_index(c, "?", 1), by), lambda s: s != ""), F.lit(-1))
+    bare = F.regexp_replace(key, r"^[^:]*:?", "")
+    full = lambda c: F.when(c != "", c)
+    got = (
+        F.when(kind == "http-endpoint", last(F.coalesce(full(path), bare), "/")).when(kind == "dubbo-method", F.substring_index(key, "#", -1))
+        .when(kind == "grpc-method", F.substring_index(key, "/", -1)).when(kind == "graphql-operation", F.substring_index(key, ".", -1))
+        .when(kind == "event", F.coalesce(full(event_name), last(F.coalesce(full(topic), bare), "[./:]")))
+    )
+    return full(F.lower(got))
+
+
+#: Kinds of specs that an outside caller reaches: what a consumer beside them in the same file may be called by.
+ENTRIES = ("http-endpoint", "event", "graphql-operation")
+
+
+def internal_calls(relations: DataFrame, specs: DataFrame) -> DataFrame:
+    """from_spec, to_spec, via_from, via_to, confidence: within its file, a spec that serves an action calls the consumer of the same action.
+
+    relations: from_spec, to_spec, kind, confidence, of which forward consumer-to-producer ones count; specs: spec_id, repo_id, file_id, spec_kind, action.
+    Of several relations of one consumer the most confident counts.
+    """
+    used = relations.where("kind in ('CALLS_ENDPOINT', 'SUBSCRIBES_EVENT')").groupBy("from_spec").agg(F.max(F.struct("confidence", "to_spec")).alias("via"))
+    mine = used.join(specs.where("file_id is not null and action is not null"), F.col("from_spec") == F.col("spec_id")).select("from_spec", "via", "repo_id", "file_id", "action")
+    near = specs.where(F.col("spec_kind").isin(*ENTRIES)).select(F.col("spec_id").alias("entry"), "repo_id", "file_id", "action")
+    j = mine.join(near, ["repo_id", "file_id", "action"]).where("entry <> from_spec")
+    return j.select(F.col("entry").alias("from_spec"), F.col("from_spec").alias("to_spec"), F.col("from_spec").alias("via_from"), F.col("via.to_spec").alias("via_to"), F.least("via.confidence", F.lit(0.75)).alias("confidence")).distinct()

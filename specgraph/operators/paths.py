@@ -17,7 +17,7 @@ def _folder(spark: SparkSession) -> str:
     return f"{found}/specgraph-paths"
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -27,14 +27,14 @@ def reach(edges: DataFrame, starts: DataFrame, max_hops: int, backward: bool = F
     """node, hop: what starts (node) reach over edges (src, dst) in at most max_hops, with the least hop; starts at hop 0."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     edges = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    seen = _cut(starts.select("node").distinct().withColumn("hop", F.lit(0)))
+    seen = cut(starts.select("node").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, max_hops + 1):
         front = seen.where(F.col("hop") == hop - 1).select("node")
         new = front.join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
-        new = _cut(new)
+        new = cut(new)
         if new.isEmpty():
             break
-        seen = _cut(seen.union(new))
+        seen = cut(seen.union(new))
     return seen
 
 
