@@ -10,11 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import matrix, unit, usable
+from .vectors import common_length, matrix, unit, usable
 
-#: Orderings, projected dimensions of each, bits of a coordinate; rows of a block, the share of all rows on either side of a query, sampled keys.
+#: Orderings, projected dimensions of each, bits of a coordinate; rows of a block, sampled keys.
 ORDERINGS, DIMS, BITS = 16, 4, 12
-BLOCK, REACH, SAMPLE = 2048, 0.05, 20_000
+BLOCK, SAMPLE = 2048, 20_000
+#: Windows are as wide as this share of the true neighbours of so many sampled queries needs.
+AIM, PROBES = 0.97, 128
 SPREAD = 5.0
 #: Scores nearer than this to the last that counts are taken anew pair by pair; scores that agree to 1 / TIE are ties.
 MARGIN, TIE = 1e-9, 1e12
@@ -54,20 +56,54 @@ def keys(x: np.ndarray, seed: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
+def reach(nodes: DataFrame, asks: DataFrame, ladder: np.ndarray, k: int, seed: int) -> float:
+    """The share of all rows that a window has to span on either side of a query, so that it meets AIM of the true neighbours in some ordering.
+
+    Measured: PROBES queries (by the hash of their vector) against all rows. ladder: a sample's keys, a column for each ordering, each sorted.
+    """
+    probes = asks.select("q", "vec").distinct().orderBy(F.xxhash64("q"), "q").limit(PROBES).collect()
+    names, x = np.array([r["q"] for r in probes], np.int64), unit(matrix(pa.array([bytes(r["vec"]) for r in probes], pa.binary())))
+
+    def best(batches):
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            vec, node = matrix(b.column("vec")), np.asarray(b.column("node"))
+            score = x @ unit(vec).T
+            score[names[:, None] == node[None, :]] = -2
+            top = np.argpartition(-score, min(k, len(node)) - 1, axis=1)[:, :k]
+            part = [(i, float(score[i, j]), vec[j].tobytes()) for i in range(len(x)) for j in top[i] if score[i, j] > -2]
+            held = sorted((held or []) + part, key=lambda t: (t[0], -t[1]))
+            held = [t for n, t in enumerate(held) if n < k or held[n - k][0] != t[0]]
+        got = list(zip(*held, strict=True)) if held else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int32()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.binary())], ["i", "score", "vec"])
+
+    found = nodes.select("node", "vec").mapInArrow(best, "i int, score double, vec binary")
+    found = found.withColumn("n", F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "vec"))).where(F.col("n") <= k).select("i", "vec").collect()  # k rows a probe
+    if not found:
+        return 0.0
+    at = lambda vecs: np.stack([np.searchsorted(ladder[:, o], column) / len(ladder) for o, column in enumerate(keys(vecs, seed).T)], 1)
+    mine, theirs = at(x), at(unit(matrix(pa.array([bytes(r["vec"]) for r in found], pa.binary()))))
+    need = np.abs(mine[[r["i"] for r in found]] - theirs).min(1)
+    return float(np.quantile(need, AIM))
+
+
 def nearest(vectors: DataFrame, queries, k: int = 5, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that meets `queries` (a condition on vec_id) its k nearest other rows by cosine.
 
     Nearest first, ties (scores that agree to 12 decimals) to the smaller vec_id; fewer than k if there are no more. Vectors that are null, zero, or hold null or non-finite components take
-    no part, nor do rows with a null vec_id; vectors must be of one length. Rows that share a vec_id are rows of their own; each is asked and may
+    no part, nor do rows with a null vec_id, nor vectors of another length than most have. Rows that share a vec_id are rows of their own; each is asked and may
     be found, and what has a query's own id is left out. An empty table gives no rows. Columns other than vec_id and embedding aren't read.
 
     Copies of one vector are searched once (but for ids on several vectors, which are searched each by themselves, without what has their id alone),
-    and stand in the result by their k + 1 smallest ids. Each ordering is cut into ranges of about BLOCK
-    vectors, at quantiles of at most SAMPLE keys; a query meets the ranges within REACH of all rows on either side of its own. What it meets in any
-    ordering is ranked by cosines of the original vectors in double precision. The orderings find what is nearest in a few projected dimensions: where
-    vectors have no structure, near ones are little nearer there than others, and only a wide reach finds them.
+    and stand in the result by their k + 1 smallest ids. Each ordering is cut into ranges of about BLOCK vectors, at quantiles of at most SAMPLE keys; a
+    query meets its own range and so many on either side as reach() finds. What it meets in any ordering is ranked by cosines of the original vectors in
+    double precision. Where near vectors lie near in some ordering, that is one range on either side however many vectors there are. Where vectors have
+    no structure, near ones are little nearer there than others, and only wide windows find them.
     """
-    rows = written(usable(vectors), "vectors")
+    length = common_length(vectors)
+    rows = written(usable(vectors, length), "vectors")
 
     def least(batches):
         for b in batches:
@@ -88,8 +124,8 @@ def nearest(vectors: DataFrame, queries, k: int = 5, seed: int = 5) -> DataFrame
     sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))).select("vec").limit(2 * SAMPLE)
     taken = matrix(pa.array([bytes(r["vec"]) for r in sample.collect()], pa.binary()))
     blocks = max(1, -(-n // BLOCK))
-    cuts = np.quantile(keys(unit(taken), seed), np.arange(1, blocks) / blocks, axis=0) if len(taken) and blocks > 1 else np.zeros((0, ORDERINGS))
-    side = max(1, int(np.ceil(REACH * blocks)))
+    ladder = np.sort(keys(unit(taken), seed), axis=0) if len(taken) and blocks > 1 else np.zeros((0, ORDERINGS))
+    cuts = np.quantile(ladder, np.arange(1, blocks) / blocks, axis=0) if len(ladder) else ladder
 
     def place(batches):
         for b in batches:
@@ -102,6 +138,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, seed: int = 5) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), o), pa.int32()), pa.array(block, pa.int32())], [*b.schema.names, "o", "block"])
 
     asks = nodes.select(F.col("node").alias("q"), "vec").join(asking.select("q", "own", "self").distinct(), "q").select("q", "own", "self", "vec")
+    side = max(1, int(np.ceil(reach(nodes, asks, ladder, k, seed) * blocks))) if len(ladder) else 1
     asked = asks.mapInArrow(place, "q long, own boolean, self long, vec binary, o int, block int")
     asked = asked.withColumn("block", F.explode(F.sequence(F.greatest(F.col("block") - side, F.lit(0)), F.least(F.col("block") + side, F.lit(blocks - 1)))))
     # Queries of one block are dealt to as many tasks as keep each small; the block goes along.

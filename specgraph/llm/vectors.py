@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, node and vec (doubles, as bytes) of rows with an id and a vector that isn't null, zero, or holding null or non-finite components.
+def common_length(vectors: DataFrame) -> int:
+    """The length that most vectors have, of equally frequent ones the larger; 0 without any. Vectors of other lengths take no part in anything."""
+    found = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
+    return found["size"] if found else 0
+
+
+def usable(vectors: DataFrame, length: int) -> DataFrame:
+    """vec_id, node and vec (doubles, as bytes) of rows with an id and a vector of that length that isn't zero, or holding null or non-finite components.
 
     node is a hash of the components: exact copies share it.
     """
@@ -20,7 +26,7 @@ def usable(vectors: DataFrame) -> DataFrame:
         for b in batches:
             ids, nodes, vecs = [], [], []
             for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding"), strict=True):
-                if i is None or not v.is_valid or v.values.null_count:
+                if i is None or not v.is_valid or len(v.values) != length or v.values.null_count:
                     continue
                 x = np.asarray(v.values, np.float64) + 0.0  # -0.0 is 0.0
                 with np.errstate(over="ignore"):

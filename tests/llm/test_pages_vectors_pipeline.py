@@ -97,7 +97,7 @@ def vectors(spark):
     x[100:120] = x[99]
     x[130] = 2 * x[129]
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
-    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [1.0, None] + [0.0] * 14, 0), (None, rows[0][1], 0), (904, [], 0)]
+    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [1.0, None] + [0.0] * 14, 0), (None, rows[0][1], 0), (904, [], 0), (905, rows[0][1][:8], 0)]
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1)), x
 
 
@@ -168,7 +168,7 @@ def test_embedding_links(vectors):
         comp = np.array([min(comp[i], comp[link[i]].min(initial=i)) for i in range(300)])
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rabitq.near_duplicates(df).collect() if r.vec_id is not None}
     assert {i: got[i] for i in range(300)} == {i: (link[i].sum(), comp[i], comp[i] == i) for i in range(300)}
-    assert all(got[i] == (0, i, True) for i in range(900, 905))
+    assert all(got[i] == (0, i, True) for i in range(900, 906))
     assert rabitq.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -177,9 +177,44 @@ def test_estimates_are_unbiased_and_bounded():
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(2000, 64)), rng.normal(size=(2000, 64))))
     turn = rabitq.rotation(64, 3)
     codes, factors = rabitq.encode(x @ turn)
-    got, error = rabitq.estimate(codes, factors, y @ turn)
+    got, spread = rabitq.estimate(codes, factors, y @ turn), rabitq.slack(factors, turn.shape[1])
     true = (x * y).sum(1)
-    assert abs((got - true).mean()) < 0.005 and (np.abs(got - true) <= error).all()
+    assert abs((got - true).mean()) < 0.005 and (np.abs(got - true) <= spread * np.sqrt(1 - true**2)).all()
+
+
+def test_bounds_decide_pairs_rightly():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    y = x + rng.normal(size=x.shape) * rng.uniform(0, 1.5, size=(4000, 1))
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    turn, true = rabitq.rotation(64, 3), (x * y).sum(1)
+    codes, factors = rabitq.encode(x @ turn)
+    whole, step, left = rabitq.rounded(y)
+    assert left == pytest.approx(np.linalg.norm(whole * step[:, None] - y, axis=1))
+    below, above = rabitq.verdicts(rabitq.estimate(codes, factors, (whole * step[:, None]) @ turn), left / factors, rabitq.slack(factors, turn.shape[1]), 0.9)
+    assert not (below & (true >= 0.9)).any() and not (above & (true < 0.9)).any()
+    assert below[true < 0.6].mean() > 0.9
+
+
+@pytest.mark.parametrize("noise", [0.05, 1.0])
+def test_windows_reach_the_recall(spark, monkeypatch, noise):
+    """Many ranges: near vectors in clusters need one range on either side, vectors without structure more."""
+    monkeypatch.setattr(hilbert, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 24))[rng.integers(0, 300, 3000)] * (noise < 1) + noise * rng.normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    df = df.withColumn("q", F.lit("x")).withColumn("o", F.lit(0)).withColumn("block", F.lit(0))  # columns that the operator names as well
+    got = {}
+    for r in hilbert.nearest(df, F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 150
+    assert hilbert.nearest(df.limit(0), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
 def test_pipeline(spark, data):
