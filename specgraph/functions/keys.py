@@ -14,14 +14,18 @@ def normal_name(c) -> Column:
 
 def api_path(c) -> Column:
     """A path without scheme, host and query; parameters as {name}; one slash in front, none doubled, none at the end."""
-    for pattern, by in ((r"^https?://[^/]+", ""), (r"\?.*$", ""), (r"/:([A-Za-z_]\w*)", "/{$1}"), (r"\$\{([A-Za-z_]\w*)\}", "{$1}"), (r"\$\{[^}]*\}", "{param}"), (r"^/?", "/"), (r"/{2,}", "/"), (r"(.)/$", "$1")):
+    c = F.trim(c)
+    for pattern, by in ((r"^(?i)https?://[^/]+", ""), (r"\?.*$", ""), (r"/:([A-Za-z_]\w*)", "/{$1}"), (r"\$\{([A-Za-z_]\w*)\}", "{$1}"), (r"\$\{[^}]+\}", "{param}"), (r"^/?", "/"), (r"/{2,}", "/"), (r"(.)/$", "$1")):
         c = F.regexp_replace(c, pattern, by)
     return c
 
 
 def http_key(method, path) -> Column:
-    p = F.lower(api_path(path))
-    return F.when(method.isNull() | (method == ""), p).otherwise(F.concat(F.upper(method), F.lit(":"), p))
+    """METHOD:/path, or the path alone; addresses of other schemes keep theirs; the path in lower case."""
+    bare = F.trim(path)
+    other = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\?.*$", ""), "/+", "/"), "/$", "")
+    p = F.lower(F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~bare.rlike("^(?i)https?://"), other).otherwise(api_path(path)))
+    return F.when(method.isNull() | (method == ""), p).otherwise(F.concat(F.upper(F.trim(method)), F.lit(":"), p))
 
 
 def template(c) -> Column:

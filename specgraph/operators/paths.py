@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share (spark.checkpoint.dir); a folder of this machine serves local runs only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("specgraph.paths.dir", None)
     if not found:
-        found = spark.conf.get("specgraph.paths.dir", None) or tempfile.mkdtemp(prefix="specgraph-paths-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="specgraph-paths-")
         spark.conf.set("specgraph.paths.dir", found)
     return f"{found}/specgraph-paths"
 
@@ -24,17 +27,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_hops: int, backward: bool = False) -> DataFrame:
-    """node, hop: what starts (node) reach over edges (src, dst) in at most max_hops, with the least hop; starts at hop 0."""
+    """node, hop: what starts (node) reach over edges (src, dst) in at most max_hops, with the least hop; starts at hop 0.
+
+    Edges are made distinct and written once; each hop writes its own front only.
+    """
     a, b = ("dst", "src") if backward else ("src", "dst")
-    edges = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    seen = cut(starts.select("node").distinct().withColumn("hop", F.lit(0)))
+    edges = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
+    front = cut(starts.select("node").distinct().withColumn("hop", F.lit(0)))
+    seen = front
     for hop in range(1, max_hops + 1):
-        front = seen.where(F.col("hop") == hop - 1).select("node")
-        new = front.join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
-        new = cut(new)
-        if new.isEmpty():
+        new = edges.join(front.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct()
+        front = cut(new.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
             break
-        seen = cut(seen.union(new))
+        seen = seen.union(front)
     return seen
 
 

@@ -15,11 +15,16 @@ def live(edges: DataFrame) -> DataFrame:
 
 
 def contract_summary(contracts: DataFrame, edges: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Each contract's producers, consumers and evidence; contracts nobody uses count 0."""
-    one = lambda role: F.count_distinct(F.when(F.col("role") == role, F.col("repo_id"))).alias(f"{role}s")
-    counts = live(edges).groupBy("contract_id").agg(one("producer"), one("consumer"), F.count_distinct("evidence_id").alias("evidences"))
+    """Each contract's producers (owners too), consumers and evidence; contracts nobody uses count 0.
+
+    Repositories and evidence are made distinct by one grouping, then counted: no row is multiplied.
+    """
+    side = F.when(F.col("role").isin("producer", "owner"), "p").when(F.col("role") == "consumer", "c")
+    rows = live(edges).select("contract_id", side.alias("side"), "repo_id", "evidence_id")
+    repos = rows.where("side is not null").groupBy("contract_id", "side", "repo_id").agg(F.lit(1).alias("one")).groupBy("contract_id").agg(F.count_if(F.col("side") == "p").alias("producers"), F.count_if(F.col("side") == "c").alias("consumers"))
+    proofs = rows.select("contract_id", "evidence_id").distinct().groupBy("contract_id").agg(F.count("evidence_id").alias("evidences"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = contracts.join(counts, "contract_id", "left").select("kind", "key", "name", zero("producers"), zero("consumers"), zero("evidences")).orderBy("kind", "key")
+    out = contracts.join(repos, "contract_id", "left").join(proofs, "contract_id", "left").select("kind", "key", "name", zero("producers"), zero("consumers"), zero("evidences")).orderBy("kind", "key")
     return out.limit(limit) if limit else out
 
 
@@ -28,23 +33,29 @@ def contracts_of(contracts: DataFrame, edges: DataFrame, repo: str, role: str, l
     return contracts.join(live(edges).where((F.col("repo_id") == repo) & (F.col("role") == role)), "contract_id", "left_semi").orderBy("kind", "key").limit(limit)
 
 
-def dependency_list(deps: DataFrame, limit: int = 20, strength: str | None = None, repo: str | None = None) -> DataFrame:
-    """Dependencies, strong kinds first, with a confidence band."""
-    strong = F.col("type").isin(*STRONG)
+def dependency_list(deps: DataFrame, limit: int = 20, strength: str | None = None, repo: str | None = None, target: str | None = None, direction: str | None = None, type: str | None = None) -> DataFrame:
+    """Dependencies, strong kinds first, with a confidence band; of a repository, its outgoing or incoming ones, and between it and a target."""
+    strong, a, b = F.col("type").isin(*STRONG), F.col("from_repo"), F.col("to_repo")
     if strength:
         deps = deps.where(strong if strength == "strong" else ~strong)
+    if type:
+        deps = deps.where(F.col("type") == type)
+    if (target or direction) and not repo:
+        raise ValueError("target and direction need a repository")
     if repo:
-        deps = deps.where((F.col("from_repo") == repo) | (F.col("to_repo") == repo))
+        out_, in_ = (a == repo) & (b == target if target else F.lit(True)), (b == repo) & (a == target if target else F.lit(True))
+        deps = deps.where({"outgoing": out_, "incoming": in_}.get(direction, out_ | in_))
     out = deps.withColumn("strength", F.when(strong, "strong").otherwise("weak")).withColumn("band", band(F.col("confidence")))
     return out.orderBy("strength", "from_repo", "to_repo", "type", "contract_id", "evidence_id").limit(limit)
 
 
 def trace_contract(contracts: DataFrame, edges: DataFrame, kind: str, key: str) -> DataFrame:
-    """Who has the contract in which role, with the evidence; an api key without a method finds keys that end with it."""
-    hit = F.col("key") == key
+    """Who has the contract in which role, with the evidence; an api key that no contract has finds keys of any method that end with it."""
+    mine = contracts.where(F.col("kind") == kind)
+    hit = mine.where(F.col("key") == key)
     if kind == "api":
-        hit = hit | F.col("key").endswith(":" + key)
-    return live(edges).join(contracts.where((F.col("kind") == kind) & hit), "contract_id").select("repo_id", "role", "evidence_id", "line", "confidence")
+        hit = hit.unionByName(mine.where(F.col("key").endswith(":" + key)).join(hit.select(F.lit(1).alias("__one")).limit(1), F.lit(True), "left_anti"))
+    return live(edges).join(hit, "contract_id").select("repo_id", "role", "evidence_id", "line", "confidence").orderBy("repo_id", "role", "line", "evidence_id")
 
 
 def search(rows: DataFrame, columns: list[str], text: str, order: list[Column | str], limit: int) -> DataFrame:
@@ -55,15 +66,6 @@ def search(rows: DataFrame, columns: list[str], text: str, order: list[Column |
     return rows.where(hit).orderBy(*order).limit(limit)
 
 
-def question_kind(c: Column) -> Column:
-    """What a question is about, by its first telling word."""
-    q = F.lower(c)
-    return (
-        F.when(q.rlike("impact|affect|break|change"), "impact").when(q.rlike("workflow|flow|process|step"), "workflow").when(q.rlike("depend|uses|import"), "dependency")
-        .when(q.rlike("error|bug|fail|exception|debug"), "debugging").when(q.rlike("function|class|method|symbol"), "symbol").otherwise("general")
-    )
-
-
 def keyword_score(text: Column, terms: list[str]) -> Column:
     """The share of terms that the text holds."""
     return sum((F.contains(F.lower(text), F.lit(t.lower())).cast("int") for t in terms), F.lit(0)) / F.lit(len(terms))
@@ -86,13 +88,3 @@ def set_metrics(found: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
     r = F.when(F.col("tp") + F.col("fn") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fn")))
     f1 = F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
     return g.select(F.coalesce(F.col(by), F.lit("ALL")).alias("type"), "tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"))
-
-
-SEVERITY = [(k, c, s) for c, s in (("removed", "breaking"), ("renamed", "breaking"), ("type-changed", "risky"), ("schema-changed", "risky"), ("payload-changed", "risky"), ("signature-changed", "risky"), ("added", "compatible"), ("field-removed", "breaking"), ("field-added", "compatible"), ("method-changed", "breaking"), ("path-changed", "breaking"), ("optional-field-removed", "risky")) for k in ("http-endpoint", "event", "schema", "grpc-method", "dubbo-method", "graphql-operation")]
-
-
-def graded(changes: DataFrame) -> DataFrame:
-    """changes (spec_kind, change_type, confidence) with a severity; what no rule knows is risky at a confidence of 0.6 at most."""
-    rules = changes.sparkSession.createDataFrame(SEVERITY, "spec_kind string, change_type string, severity string")
-    j = changes.join(F.broadcast(rules), ["spec_kind", "change_type"], "left")
-    return j.withColumn("confidence", F.when(F.col("severity").isNull(), F.least("confidence", F.lit(0.6))).otherwise(F.col("confidence"))).withColumn("severity", F.coalesce("severity", F.lit("risky")))

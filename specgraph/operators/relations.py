@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from specgraph.operators import dependencies as D
 from specgraph.operators import matching as M
+from specgraph.operators.paths import cut
 
 #: Columns of a spec; spec is its payload as JSON.
 SPEC = "spec_id string, contract_id string, spec_kind string, repo_id string, file_id string, evidence_id string, key string, method string, path string, topic string, spec string, confidence double"
@@ -80,7 +81,8 @@ def calls(specs: DataFrame) -> DataFrame:
 
 def resolve(specs: DataFrame, edges: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     """All RELATION rows of specs (SPEC), roles (contract_id, repo_id, role) and pending references; of one (from, to, kind) the most confident."""
-    found = calls(M.with_roles(specs, edges)).unionByName(typed_relations(specs))
+    # Roles are written once: every matcher reads them.
+    found = calls(cut(M.with_roles(specs, edges))).unionByName(typed_relations(specs))
     if pending is not None:
         found = found.unionByName(pending_relations(pending, specs).select("from_spec", "to_spec", "kind", "evidence_id", "confidence"))
     best = F.max_by(F.struct("evidence_id", "confidence"), F.struct("confidence", F.col("evidence_id").alias("e")))
@@ -122,7 +124,7 @@ def rebuild(specs: DataFrame, edges: DataFrame, contracts: DataFrame, pending: D
     edges: repo_id, contract_id, role, evidence_id, confidence, active, rule. Dependencies: from_repo, to_repo, type, source_contract, target_contract, evidence_id, confidence.
     """
     some = near(specs, repos) if repos is not None else specs
-    relations = resolve(some, edges, pending)
+    relations = cut(resolve(some, edges, pending))
     if repos is not None:
         relations = touching(relations, specs, repos)
     made = D.semantic(relations, specs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def hidden_batches(table: DataFrame, journal: DataFrame) -> DataFrame:
 
 
 def rejected(evidence: DataFrame, edges: DataFrame, feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Evidence and the edges resting on it, switched off where feedback (evidence_id) rejects it."""
+    """Evidence and the edges resting on it, switched off where feedback (evidence_id) rejects it; specs stay."""
     return switched_off(evidence, feedback, ["evidence_id"]), switched_off(edges, feedback, ["evidence_id"])
 
 
@@ -68,7 +69,69 @@ def aliases(table: DataFrame, alias: DataFrame) -> DataFrame:
     return upsert(table, alias.withColumn("alias", F.lower("alias")).groupBy("alias").agg(F.max_by("repo_id", "at").alias("repo_id")), ["alias"])
 
 
-def write_repos(table: DataFrame, path: str) -> None:
-    """Replaces the partitions of the repositories in the table and leaves the others; one that has no rows left keeps its old partition."""
+def merge_set(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The table with rows merged in, column by column: what a row leaves null keeps its value, new keys are added; of rows of one key each column's last
+    value by `order` counts."""
+    by = F.col(order) if order else F.lit(0)
+    values = [c for c in rows.columns if c not in (*keys, order)]
+    new = rows.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), by)).alias(f"__{c}") for c in values])
+    j = table.withColumn("__old", F.lit(True)).join(new, keys, "full")
+    every = [c for c in table.columns if c not in keys] + [c for c in values if c not in table.columns]
+    pick = lambda c: (F.coalesce(f"__{c}", c) if c in table.columns else F.col(f"__{c}")) if c in values else F.col(c)
+    return j.select(*keys, *[pick(c).alias(c) for c in every])
+
+
+def bulk_copy(table: DataFrame, path: str) -> None:
+    """Writes a whole table by repository; refuses where there already is one with rows."""
+    spark = table.sparkSession
+    try:
+        empty = spark.read.parquet(path).isEmpty()
+    except AnalysisException:
+        empty = True
+    if not empty:
+        raise ValueError(f"{path} isn't empty: a bulk copy is for an empty graph")
+    table.hint("rebalance", "repo_id").write.mode("overwrite").partitionBy("repo_id").parquet(path)
+
+
+def write_repos(table: DataFrame, path: str, repos: list[str] | None = None) -> None:
+    """Replaces the partitions of the repositories in the table and leaves others alone.
+
+    repos: repositories that the table stands for as a whole; of these, one without rows loses its partition, so that no stale row stays.
+    """
+    spark = table.sparkSession
     # Rebalanced rather than hashed: a large repository is split into several files, small ones share a task.
     table.hint("rebalance", "repo_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
+    if repos:
+        left = {r["repo_id"] for r in table.select("repo_id").where(F.col("repo_id").isin(repos)).distinct().collect()}  # a few named ones
+        jvm = spark.sparkContext._jvm
+        for repo in repos:
+            if repo not in left:
+                name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo)
+                gone = jvm.org.apache.hadoop.fs.Path(f"{path}/repo_id={name}")
+                gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def stale_marked(tables: dict[str, DataFrame], seen: DataFrame, repos: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables with everything of files that a scan of repos (repo_id) hasn't met (seen: repo_id, file_id) switched off, and the stale files.
+
+    tables: files, and any of code, sections, evidence, specs (with file_id), imports (from_file, to_file), calls (from_code, to_code), edges and entity
+    mentions (evidence_id), relations (from_spec, to_spec), deps (from_repo, to_repo). A repository without any file left loses its dependencies.
+    """
+    stale = stale_files(tables["files"], seen, repos)
+    ids, out = stale.select("file_id"), dict(tables)
+    for name in ("files", "code", "sections", "evidence", "specs"):
+        if name in out:
+            out[name] = switched_off(out[name], ids, ["file_id"])
+
+    def off(name: str, gone: DataFrame, ends: tuple[str, ...]) -> None:
+        if name in out:
+            for end in ends:
+                out[name] = switched_off(out[name], gone.toDF(end), [end])
+
+    off("imports", ids, ("from_file", "to_file"))
+    for holder, key, name, ends in (("code", "code_id", "calls", ("from_code", "to_code")), ("evidence", "evidence_id", "edges", ("evidence_id",)), ("evidence", "evidence_id", "mentions", ("evidence_id",)), ("specs", "spec_id", "relations", ("from_spec", "to_spec"))):
+        if holder in tables:
+            off(name, tables[holder].join(ids, "file_id", "left_semi").select(key).distinct(), ends)
+    bare = repos.select("repo_id").distinct().join(seen.select("repo_id").distinct(), "repo_id", "left_anti")
+    off("deps", bare, ("from_repo",))
+    return out, stale

@@ -40,13 +40,15 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def http_specs(spark: SparkSession, d: str) -> DataFrame:
-    """spec_id, repo_id, role, method, path of pages: consumers call a page's path, producers serve its template."""
+    """spec_id, repo_id, role, method, path of pages: consumers call every page's path, and each host's api serves every path as it is and as a template."""
     from specgraph.functions import keys
 
     p = table(spark, d, "pages")
     host, path = F.regexp_extract("url", r"^https?://([^/]+)", 1), keys.api_path(F.col("url"))
     used = p.select(F.concat(F.lit("c:"), "page_id").alias("spec_id"), host.alias("repo_id"), F.lit("consumer").alias("role"), F.when(F.col("page_id") % 3 == 0, None).otherwise(F.when(F.col("page_id") % 3 == 1, "GET").otherwise("POST")).alias("method"), path.alias("path"))
-    made = p.where("page_id % 5 = 0").select(F.concat(F.lit("p:"), "page_id").alias("spec_id"), F.concat(F.lit("api."), host).alias("repo_id"), F.lit("producer").alias("role"), F.when(F.col("page_id") % 2 == 0, "GET").alias("method"), F.when(F.col("page_id") % 10 == 0, path).otherwise(keys.template(path)).alias("path"))
+    served = p.select(host.alias("host"), F.explode(F.array_distinct(F.array(path, keys.template(path)))).alias("path"), (F.col("page_id") % 2).alias("odd")).groupBy("host", "path").agg(F.min("odd").alias("odd"))
+    api = F.concat(F.lit("api."), "host")
+    made = served.select(F.concat(F.lit("p:"), "host", "path").alias("spec_id"), api.alias("repo_id"), F.lit("producer").alias("role"), F.when(F.col("odd") == 0, "GET").alias("method"), "path")
     return used.unionByName(made)
 
 
@@ -65,7 +67,8 @@ live AS (SELECT * FROM edge WHERE coalesce(active, true)),
 spec AS (
   SELECT 'c:' || page_id AS spec_id, regexp_extract(url, '^https?://([^/]+)', 1) AS repo_id, 'consumer' AS role, CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'GET' ELSE 'POST' END AS method, path FROM paged
   UNION ALL
-  SELECT 'p:' || page_id, 'api.' || regexp_extract(url, '^https?://([^/]+)', 1), 'producer', CASE WHEN page_id % 2 = 0 THEN 'GET' END, CASE WHEN page_id % 10 = 0 THEN path ELSE regexp_replace(regexp_replace(path, '/[0-9]+$', '/{id}'), '/[0-9]+([/.#])', '/{id}\\1', 'g') END FROM paged WHERE page_id % 5 = 0)
+  SELECT 'p:' || host || path, 'api.' || host, 'producer', CASE WHEN min(odd) = 0 THEN 'GET' END, path FROM (
+    SELECT DISTINCT page_id, page_id % 2 AS odd, regexp_extract(url, '^https?://([^/]+)', 1) AS host, unnest([path, regexp_replace(regexp_replace(path, '/[0-9]+$', '/{id}'), '/[0-9]+([/.#])', '/{id}\\1', 'g')]) AS path FROM paged) GROUP BY host, path)
 """
 PATH_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '\\?.*$', ''), '^/?', '/'), '/{2,}', '/', 'g'), '(.)/$', '\\1')"
 PREFIX = f"WITH RECURSIVE paged AS (SELECT page_id, url, {PATH_SQL} AS path FROM pages), " + SQL.strip()

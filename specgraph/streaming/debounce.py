@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def sessions(events: DataFrame, gap: str, by: list[str], ts: str = "ts", kind: str = "event_type") -> DataFrame:
-    """by, first_seen, last_seen, n, kinds: bursts of events of a key with every pause shorter than gap. For a stream give it a watermark first."""
+    """by, first_seen, last_seen, n, kinds: bursts of events of a key with every pause shorter than gap. For a stream give it a watermark first, which drops late events; streaming.watch never does."""
     w = F.session_window(ts, gap)
     return events.groupBy(*by, w).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.count("*").alias("n"), F.collect_set(kind).alias("kinds")).drop("session_window")
 
@@ -18,8 +18,3 @@ def route(paths: DataFrame, roots: DataFrame) -> DataFrame:
     p = paths.withColumn("root", F.explode(F.array_distinct(F.concat(F.array(F.lit("/")), ends))))
     best = p.join(roots, "root").groupBy("page_id").agg(F.max(F.struct(F.length("root").alias("len"), "root")).alias("b"))
     return best.select("page_id", "b.root")
-
-
-def watch(events: DataFrame, gap: str, lateness: str, by: list[str], sink) -> object:
-    """A stream of events as sessions, handed to sink(batch, id) once their gap has passed; the caller starts it with a checkpoint location."""
-    return sessions(events.withWatermark("ts", lateness), gap, by).writeStream.outputMode("append").foreachBatch(sink)
