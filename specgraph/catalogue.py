@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from specgraph.plans import reads
+from specgraph.plans import extracts, reads, semantic
 
 
 def queries() -> dict:
-    return dict(reads.QUERIES)
+    return {**reads.QUERIES, **semantic.QUERIES, **extracts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(reads.ORACLES)
+    return {**reads.ORACLES, **semantic.ORACLES, **extracts.ORACLES}

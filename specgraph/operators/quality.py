@@ -32,7 +32,7 @@ def method_only(producers: DataFrame) -> DataFrame:
 def prefixes(key: Column) -> Column:
     """What stands before each slash of a key but a leading one."""
     parts = F.split(key, "/")
-    return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.substring_index(key, "/", n)), lambda p: p != "")
+    return F.filter(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")), lambda p: p != "")
 
 
 def missing_mapping(consumers: DataFrame, producers: DataFrame) -> DataFrame:

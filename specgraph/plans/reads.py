@@ -80,12 +80,6 @@ def dependency_list_repo(spark, d):
     return Q.dependency_list(D.legacy(P.edges(spark, d), P.contracts(spark, d)), 50, repo="repo:7")
 
 
-@query("SELECT repo_id, role, evidence_id, line, confidence FROM live JOIN contract USING (contract_id) WHERE kind = 'api' AND (key LIKE '%/16' OR key LIKE '%:%/16')")
-def contract_trace_roles(spark, d):
-    c = P.contracts(spark, d).where(F.col("key").endswith("/16"))
-    return Q.live(P.edges(spark, d)).join(c.where("kind = 'api'"), "contract_id").select("repo_id", "role", "evidence_id", "line", "confidence")
-
-
 @query("SELECT repo_id, role, count(*) AS n FROM live GROUP BY ALL")
 def role_counts(spark, d):
     return Q.live(P.edges(spark, d)).groupBy("repo_id", "role").agg(F.count("*").alias("n"))
@@ -124,18 +118,6 @@ def no_slash(spark, d):
     return P.contracts(spark, d).where((F.col("kind") == "api") & ~F.col("key").startswith("/")).select("contract_id", "key")
 
 
-@query("SELECT DISTINCT c.repo_id, c.path FROM spec c WHERE c.role = 'consumer' AND NOT EXISTS (SELECT 1 FROM spec p WHERE p.role = 'producer' AND p.path = c.path)")
-def missing_mapping(spark, d):
-    s = P.http_specs(spark, d)
-    return s.where("role = 'consumer'").join(s.where("role = 'producer'").select("path"), "path", "left_anti").select("repo_id", "path").distinct()
-
-
-@query("SELECT repo_id, path FROM spec WHERE role = 'producer' AND len(string_split(ltrim(regexp_replace(path, '\\{[^}]*\\}', 'param', 'g'), '/'), '/')) = 1")
-def method_only(spark, d):
-    one = F.size(F.split(F.ltrim(F.regexp_replace("path", r"\{[^}]*\}", "param"), F.lit("/")), "/")) == 1
-    return P.http_specs(spark, d).where("role = 'producer'").where(one).select("repo_id", "path")
-
-
 @query("SELECT page_id, path FROM paged")
 def api_path_normalize(spark, d):
     return P.table(spark, d, "pages").select("page_id", keys.api_path(F.col("url")).alias("path"))
@@ -146,10 +128,10 @@ def canonical_keys(spark, d):
     return P.table(spark, d, "part").select("p_partkey", keys.normal_name(F.col("p_name")).alias("id"), keys.content_hash(F.col("p_name")).alias("hash"))
 
 
-_HTTP = """, s AS (SELECT spec_id, repo_id, role, method, lower(path) AS path, string_split(ltrim(lower(path), '/'), '/') AS seg FROM spec),
-pair AS (SELECT c.spec_id AS consumer, p.spec_id AS producer, p.repo_id AS p_repo, CASE WHEN c.path = p.path AND c.method = p.method THEN 'exact' WHEN c.path = p.path THEN 'path-only' WHEN contains(p.path, '{') AND NOT contains(c.path, '{') THEN 'static-to-template' ELSE 'template-compatible' END AS kind
+_HTTP = """, s AS (SELECT spec_id, repo_id, role, method, lower(path) AS path, string_split(ltrim(lower(path), '/'), '/') AS seg, regexp_matches(lower(path), '(^|/)\\{[^/]+\\}(/|$)') AS tpl FROM spec),
+pair AS (SELECT c.spec_id AS consumer, p.spec_id AS producer, p.repo_id AS p_repo, CASE WHEN c.path = p.path AND c.method = p.method THEN 'exact' WHEN c.path = p.path THEN 'path-only' WHEN p.tpl <> c.tpl THEN 'static-to-template' ELSE 'template-compatible' END AS kind
  FROM s c JOIN s p ON c.role = 'consumer' AND p.role = 'producer' AND len(c.seg) = len(p.seg) AND c.repo_id <> p.repo_id WHERE (c.method = p.method OR c.method IS NULL OR p.method IS NULL)
- AND (c.path = p.path OR ((contains(c.path, '{') OR contains(p.path, '{')) AND len(list_filter(list_zip(c.seg, p.seg), lambda x: NOT (x[1] = x[2] OR starts_with(x[1], '{') OR starts_with(x[2], '{')))) = 0))),
+ AND (c.path = p.path OR ((c.tpl OR p.tpl) AND len(list_filter(list_zip(c.seg, p.seg), lambda x: NOT (x[1] = x[2] OR regexp_matches(x[1], '^\\{.+\\}$') OR regexp_matches(x[2], '^\\{.+\\}$')))) = 0))),
 best AS (SELECT *, CASE kind WHEN 'exact' THEN 0 WHEN 'path-only' THEN 1 ELSE 2 END AS r FROM pair QUALIFY r = min(r) OVER (PARTITION BY consumer, p_repo))
 SELECT DISTINCT consumer, producer, kind, CASE kind WHEN 'exact' THEN 0.95::DOUBLE WHEN 'path-only' THEN 0.75::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM best"""
 
@@ -165,7 +147,7 @@ def _event_specs(spark, d):
     return e.select(F.concat(F.lit("e:"), "event_id").alias("spec_id"), F.concat(F.lit("u:"), F.col("user_id") % 40).alias("repo_id"), role.alias("role"), F.concat_ws("-", F.upper("event_type"), F.col("event_id") % 50).alias("topic"), F.get_json_object("props", "$.k").alias("payload"))
 
 
-_EVENT = "es AS (SELECT 'e:' || event_id AS spec_id, 'u:' || (user_id % 40) AS repo_id, CASE WHEN event_id % 3 = 0 THEN 'producer' ELSE 'consumer' END AS role, lower(event_type || '-' || (event_id % 50)) AS topic, props::JSON->>'$.k' AS payload FROM events), ep AS (SELECT p.spec_id AS p, c.spec_id AS c, CASE WHEN p.payload <> c.payload THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM es p JOIN es c USING (topic) WHERE p.role = 'producer' AND c.role = 'consumer' AND p.repo_id <> c.repo_id), em AS (SELECT p AS from_spec, c AS to_spec, 'PUBLISHES' AS kind, confidence FROM ep UNION ALL SELECT c, p, 'SUBSCRIBES', confidence FROM ep)"
+_EVENT = "es AS (SELECT 'e:' || event_id AS spec_id, 'u:' || (user_id % 40) AS repo_id, CASE WHEN event_id % 3 = 0 THEN 'producer' ELSE 'consumer' END AS role, lower(event_type || '-' || (event_id % 50)) AS topic, props::JSON->>'$.k' AS payload FROM events), ep AS (SELECT p.spec_id AS p, c.spec_id AS c, CASE WHEN p.payload <> c.payload THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM es p JOIN es c USING (topic) WHERE p.role = 'producer' AND c.role = 'consumer' AND p.repo_id <> c.repo_id), em AS (SELECT p AS from_spec, c AS to_spec, 'PUBLISHES_EVENT' AS kind, confidence FROM ep UNION ALL SELECT c, p, 'SUBSCRIBES_EVENT', confidence FROM ep)"
 
 
 @query(f"WITH {_EVENT} SELECT * FROM em", prefix=False)
@@ -173,12 +155,6 @@ def event_match(spark, d):
     return M.event(_event_specs(spark, d))
 
 
-@query(f"WITH {_EVENT}, m AS (SELECT CASE WHEN kind = 'PUBLISHES' THEN b.repo_id ELSE a.repo_id END AS from_repo, CASE WHEN kind = 'PUBLISHES' THEN a.repo_id ELSE b.repo_id END AS to_repo, 'event' AS type, CASE WHEN kind = 'PUBLISHES' THEN b.topic ELSE a.topic END AS source_contract, CASE WHEN kind = 'PUBLISHES' THEN a.topic ELSE b.topic END AS target_contract, confidence FROM em JOIN es a ON a.spec_id = from_spec JOIN es b ON b.spec_id = to_spec) SELECT from_repo, to_repo, type, source_contract, target_contract, max(confidence) AS confidence FROM m WHERE from_repo <> to_repo GROUP BY ALL", prefix=False)
-def deps_semantic(spark, d):
-    s = _event_specs(spark, d)
-    return D.semantic(M.event(s), s.select("spec_id", "repo_id", F.lower("topic").alias("contract_id")))
-
-
 _RPC = "rs AS (SELECT 'r:' || p_partkey AS spec_id, 'repo:' || (p_size % 25) AS repo_id, CASE WHEN p_partkey % 3 = 0 THEN 'producer' ELSE 'consumer' END AS role, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'a' ELSE 'b' END AS package, p_brand AS service, CASE WHEN p_partkey % 9 = 0 THEN '*' ELSE split_part(p_type, ' ', 1) END AS method FROM part)"
 
 
@@ -193,11 +169,6 @@ def rpc_match(spark, d):
     return M.rpc(_rpc_specs(spark, d))
 
 
-@query(f"WITH {_RPC} SELECT c.spec_id AS consumer, p.spec_id AS producer, CASE WHEN p.method = '*' THEN 0.6::DOUBLE WHEN p.package IS NOT DISTINCT FROM c.package THEN 0.95::DOUBLE WHEN p.package IS NULL OR c.package IS NULL THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM rs p JOIN rs c USING (service) WHERE p.role = 'producer' AND c.role = 'consumer' AND p.repo_id <> c.repo_id AND (p.method = c.method OR p.method = '*')", prefix=False)
-def rpc_wildcard_match(spark, d):
-    return M.rpc(_rpc_specs(spark, d), wildcard=True)
-
-
 @query(f"WITH {_RPC} SELECT c.spec_id AS consumer, p.spec_id AS producer, 0.95::DOUBLE AS confidence FROM rs p JOIN rs c ON p.service || '.' || p.method = c.service || '.' || c.method WHERE p.role = 'producer' AND c.role = 'consumer' AND p.repo_id <> c.repo_id", prefix=False)
 def exact_key_match(spark, d):
     return M.exact_key(_rpc_specs(spark, d).withColumn("key", F.concat_ws(".", "service", "method")))
@@ -231,13 +202,6 @@ def deps_path_bridge(spark, d):
     return D.path_bridge(_keyed(spark, d))
 
 
-@query(f", {_PART}, strong AS (SELECT * FROM dep WHERE confidence >= 0.95), m AS (SELECT * FROM strong UNION ALL SELECT * FROM dep x WHERE NOT EXISTS (SELECT 1 FROM strong s WHERE s.from_repo = x.from_repo AND s.to_repo = x.to_repo AND s.type = x.type)) SELECT type, count(*) AS n, count(DISTINCT from_repo || to_repo) AS pairs FROM m GROUP BY type")
-def deps_merged(spark, d):
-    dep = D.legacy(P.edges(spark, d), P.contracts(spark, d))
-    m = D.merged(dep.where("confidence >= 0.95"), dep, ["from_repo", "to_repo", "type"])
-    return m.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct(F.concat("from_repo", "to_repo")).alias("pairs"))
-
-
 _CALLS = "calls AS (SELECT DISTINCT p_partkey AS src, 1 + (p_partkey * 7 + p_size * 13) % (SELECT count(*) FROM part) AS dst FROM part UNION SELECT p_partkey, 1 + (p_partkey * 3 + p_size) % (SELECT count(*) FROM part) FROM part WHERE p_size % 2 = 0)"
 
 
@@ -252,55 +216,11 @@ def _reach_sql(a: str, b: str) -> str:
     return f"WITH RECURSIVE {_CALLS}, r(node, hop) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey <= 20 UNION SELECT {b}, hop + 1 FROM r JOIN calls ON node = {a} WHERE hop < 3) SELECT node, min(hop)::INT AS hop FROM r GROUP BY node"
 
 
-@query(_reach_sql("src", "dst"), prefix=False)
-def trace_out(spark, d):
-    return G.reach(_calls(spark, d), P.table(spark, d, "part").where("p_partkey <= 20").select(F.col("p_partkey").alias("node")), 3)
-
-
-@query(_reach_sql("dst", "src"), prefix=False)
-def impact_hops(spark, d):
-    return G.reach(_calls(spark, d), P.table(spark, d, "part").where("p_partkey <= 20").select(F.col("p_partkey").alias("node")), 3, backward=True)
-
-
-@query(f"WITH rules(spec_kind, change_type, severity) AS (VALUES {', '.join(str(x) for x in Q.SEVERITY)}), ch AS (SELECT CASE p_size % 3 WHEN 0 THEN 'http-endpoint' WHEN 1 THEN 'event' ELSE 'schema' END AS spec_kind, CASE p_size % 5 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' WHEN 2 THEN 'type-changed' WHEN 3 THEN 'optional-field-removed' ELSE 'unheard-of' END AS change_type FROM part) SELECT spec_kind, coalesce(severity, 'risky') AS severity, count(*) AS n, max(CASE WHEN severity IS NULL THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END) AS confidence FROM ch LEFT JOIN rules USING (spec_kind, change_type) GROUP BY 1, 2", prefix=False)
-def impact_severity_rollup(spark, d):
-    s = F.col("p_size")
-    ch = P.table(spark, d, "part").select(F.when(s % 3 == 0, "http-endpoint").when(s % 3 == 1, "event").otherwise("schema").alias("spec_kind"), F.when(s % 5 == 0, "removed").when(s % 5 == 1, "added").when(s % 5 == 2, "type-changed").when(s % 5 == 3, "optional-field-removed").otherwise("unheard-of").alias("change_type"), F.lit(0.9).alias("confidence"))
-    return Q.graded(ch).groupBy("spec_kind", "severity").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
-
-
-@query("SELECT o_orderkey AS call_id, p_partkey AS target, score FROM (SELECT o_orderkey, p_partkey, round(0.4 + CASE WHEN p_size = o_orderkey % 50 THEN 0.4 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 0.1 ELSE 0 END, 2)::DOUBLE AS score FROM orders JOIN part ON p_partkey % 200 = o_custkey % 200) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, p_partkey) = 1", prefix=False)
-def call_resolution_argmax(spark, d):
-    j = P.table(spark, d, "orders").join(P.table(spark, d, "part"), F.col("o_custkey") % 200 == F.col("p_partkey") % 200)
-    score = F.round(F.lit(0.4) + F.when(F.col("p_size") == F.col("o_orderkey") % 50, 0.4).otherwise(0.0) + F.when(F.col("p_partkey") % 3 == 0, 0.1).otherwise(0.0), 2)
-    best = j.select(F.col("o_orderkey").alias("call_id"), F.col("p_partkey").alias("target"), score.alias("score"))
-    return best.groupBy("call_id").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("b")).select("call_id", (-F.col("b.t")).alias("target"), "b.score")
-
-
-@query("SELECT c_custkey AS call_id, s_suppkey AS symbol FROM customer JOIN supplier ON s_nationkey = c_nationkey AND c_custkey % 100 BETWEEN s_suppkey % 50 AND s_suppkey % 50 + s_suppkey % 30 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY s_suppkey % 30, s_suppkey) = 1", prefix=False)
-def caller_by_line_range(spark, d):
-    c, s = P.table(spark, d, "customer"), P.table(spark, d, "supplier")
-    inside = (F.col("c_custkey") % 100).between(F.col("s_suppkey") % 50, F.col("s_suppkey") % 50 + F.col("s_suppkey") % 30)
-    j = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & inside)
-    return j.groupBy(F.col("c_custkey").alias("call_id")).agg(F.min(F.struct((F.col("s_suppkey") % 30).alias("span"), "s_suppkey")).alias("m")).select("call_id", F.col("m.s_suppkey").alias("symbol"))
-
-
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'licensed') ORDER BY doc_id LIMIT 20", prefix=False)
 def section_search(spark, d):
     return Q.search(P.table(spark, d, "documents"), ["text", "source"], "licensed", ["doc_id"], 20).select("doc_id", "source")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'e') OR contains(lower(p_type), 'steel') ORDER BY p_partkey LIMIT 20", prefix=False)
-def code_search(spark, d):
-    p = P.table(spark, d, "part")
-    return p.where(F.contains(F.lower("p_name"), F.lit("e")) | F.contains(F.lower("p_type"), F.lit("steel"))).select("p_partkey", "p_name").orderBy("p_partkey").limit(20)
-
-
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'impact|affect|break|change') THEN 'impact' WHEN regexp_matches(lower(text), 'workflow|flow|process|step') THEN 'workflow' WHEN regexp_matches(lower(text), 'depend|uses|import') THEN 'dependency' WHEN regexp_matches(lower(text), 'error|bug|fail|exception|debug') THEN 'debugging' WHEN regexp_matches(lower(text), 'function|class|method|symbol') THEN 'symbol' ELSE 'general' END AS kind FROM conversations", prefix=False)
-def question_kind(spark, d):
-    return P.table(spark, d, "conversations").select("conv_id", "turn", Q.question_kind(F.col("text")).alias("kind"))
-
-
 @query("SELECT doc_id, round((contains(lower(text), 'the')::INT + contains(lower(text), 'der')::INT + contains(lower(text), 'que')::INT) / 3, 6) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 50", prefix=False)
 def keyword_score(spark, d):
     return P.table(spark, d, "documents").select("doc_id", F.round(Q.keyword_score(F.col("text"), ["the", "der", "que"]), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
@@ -333,20 +253,6 @@ def set_metrics_by_type(spark, d):
     return Q.set_metrics(x.where("quality = 1"), x.where("toxic = 0"), "type")
 
 
-@query("WITH old AS (SELECT doc_id, sha256(CASE WHEN source = 'src7' THEN text || '!' ELSE text END) AS hash FROM documents WHERE lang <> 'de') SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.doc_id = documents.doc_id AND old.hash = sha256(text))", prefix=False)
-def changed_files(spark, d):
-    docs = P.table(spark, d, "documents")
-    now = docs.select("doc_id", F.sha2("text", 256).alias("hash"))
-    old = docs.where("lang <> 'de'").select("doc_id", F.sha2(F.when(F.col("source") == "src7", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
-    return now.join(old, ["doc_id", "hash"], "left_anti").select("doc_id")
-
-
-@query("SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F') AS active FROM orders", prefix=False)
-def stale_mark(spark, d):
-    kept = P.table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("stale", F.lit(True))
-    return P.table(spark, d, "orders").join(kept, "o_orderkey", "left").select("o_orderkey", F.col("stale").isNull().alias("active"))
-
-
 @query("SELECT role, count(*) AS n, count(active) AS flagged FROM live GROUP BY role")
 def active_view(spark, d):
     return Q.live(P.edges(spark, d)).groupBy("role").agg(F.count("*").alias("n"), F.count("active").alias("flagged"))
@@ -370,13 +276,6 @@ def longest_prefix_route(spark, d):
     return route(pages, roots)
 
 
-@query("SELECT lower(name) AS name, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b'))) AS name FROM documents WHERE lang = 'en') WHERE len(name) >= 4 GROUP BY 1 HAVING count(*) > 3", prefix=False)
-def entity_mentions(spark, d):
-    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0))))
-    t = P.table(spark, d, "documents").where("lang = 'en'").select(names.alias("name")).where("length(name) >= 4")
-    return t.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n")).where("n > 3")
-
-
 @query("WITH t AS (SELECT conv_id, turn, role, 1 + length(text) - length(replace(text, chr(10), '')) AS n FROM conversations) SELECT conv_id, turn, role AS heading, 1 AS level, 1 AS start_line, 1 + n AS end_line FROM t UNION ALL SELECT conv_id, turn, 'turn ' || turn, 2, 2 + n, 2 + 2 * n FROM t", prefix=False)
 def document_sections(spark, d):
     """Every turn as a document of two sections."""
