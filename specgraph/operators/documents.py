@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
-LINK = r"(?<!!)\[([^\]]+)\]\(([^)\s#]+)(?:#[^)]+)?\)"
-FENCE = r"^\s*(`{3,}|~{3,})\s*([A-Za-z0-9_-]+)?\s*$"
+#: The marks of a heading, which white space and a title follow; closing marks and white space behind a title aren't part of it.
+MARKS, BEHIND = r"^#{1,6}(?=\s+\S)", r"[\s#]+$"
+#: A link: a label in brackets, a target in parentheses up to a fragment, a title or the end; images and escaped brackets are none.
+LINK = r"(?<![!\\])\[([^\[\]]+)\]\(\s*<?([^()\s#<>]+)[^()]*\)"
+#: What opens a fenced block: three marks or more and an info string without any of them, whose first word is the language.
+OPENING = r"^\s*(`{3,}(?=[^`]*$)|~{3,})"
 
 
 def lines_of(text) -> Column:
@@ -20,7 +23,7 @@ def sections(df: DataFrame, text: str, title: str) -> DataFrame:
     Without a heading the document is one section of level 0 under its title; what precedes the first heading belongs to none. A null text has none.
     """
     found = F.filter(
-        F.transform("__lines", lambda line, i: F.struct((i + 1).alias("at"), F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), F.trim(F.regexp_extract(line, HEADING, 2)).alias("heading"))),
+        F.transform("__lines", lambda line, i: F.struct((i + 1).alias("at"), F.length(F.regexp_extract(line, MARKS, 0)).alias("level"), F.trim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), BEHIND, "")).alias("heading"))),
         lambda x: x["level"] > 0,
     )
     whole = F.array(F.struct(F.lit(1).alias("at"), F.lit(0).alias("level"), F.col(title).alias("heading")))
@@ -61,20 +64,26 @@ def links_to_files(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def fenced(df: DataFrame, text: str) -> DataFrame:
-    """df without its text, and language, start_line, end_line, body of each fenced block; one left open ends with the document."""
-    none = F.array().cast("array<struct<language:string,start_line:int,end_line:int,size:int>>")
-    start = F.struct(F.lit("").alias("fence"), F.lit("").alias("language"), F.lit(0).alias("at"), none.alias("found"))
-    state = lambda fence, language, at, found: F.struct(fence.alias("fence"), language.alias("language"), at.alias("at"), found.alias("found"))
-    # The closing line isn't part of the body.
-    more = lambda s, end, closing: F.concat(s["found"], F.array(F.struct(s["language"].alias("language"), s["at"].alias("start_line"), end.alias("end_line"), (end - s["at"] - closing).alias("size"))))
+    """df without its text, and language, start_line, end_line, body of each fenced block; one left open ends with the document.
+
+    A block ends with a line of its opening mark alone, at least as often as it opened with.
+    """
+    block = "struct<language:string,start_line:int,end_line:int,size:int>"
+    blank = F.struct(F.lit("").alias("mark"), F.lit("").alias("language"), F.lit(0).alias("at"), F.array().cast(f"array<{block}>").alias("found"))
+
+    def ended(s, last, size):
+        one = F.struct(s["language"].alias("language"), s["at"].alias("start_line"), last.alias("end_line"), size.alias("size")).cast(block)
+        return F.array_append(s["found"], one)
 
     def step(s, x):
-        line, shut = x["line"], F.when(s["fence"] == "`", x["line"].rlike(r"^\s*`{3,}\s*$")).otherwise(x["line"].rlike(r"^\s*~{3,}\s*$"))
-        opened = state(F.substring(F.regexp_extract(line, FENCE, 1), 1, 1), F.regexp_extract(line, FENCE, 2), x["n"], s["found"])
-        return F.when((s["fence"] == "") & line.rlike(FENCE), opened).when((s["fence"] != "") & shut, state(F.lit(""), F.lit(""), F.lit(0), more(s, x["n"], 1))).otherwise(s)
+        bare, mark = F.trim(x["line"]), F.regexp_extract(x["line"], OPENING, 1)
+        opened = F.struct(mark.alias("mark"), F.regexp_extract(F.regexp_replace(x["line"], OPENING, ""), r"^\s*([\w-]*)", 1).alias("language"), x["n"].alias("at"), s["found"].alias("found"))
+        shut = (F.length(bare) >= F.length(s["mark"])) & (bare == F.repeat(F.substring(s["mark"], 1, 1), F.length(bare)))
+        closed = F.struct(F.lit("").alias("mark"), F.lit("").alias("language"), F.lit(0).alias("at"), ended(s, x["n"], x["n"] - s["at"] - 1).alias("found"))
+        return F.when((s["mark"] == "") & (mark != ""), opened).when((s["mark"] != "") & shut, closed).otherwise(s)
 
     numbered = F.transform("__lines", lambda line, i: F.struct(line.alias("line"), (i + 1).alias("n")))
-    found = F.aggregate(numbered, start, step, lambda s: F.when(s["fence"] == "", s["found"]).otherwise(more(s, F.size("__lines"), 0)))
+    whole = lambda s: F.when(s["mark"] == "", s["found"]).otherwise(ended(s, F.size("__lines"), F.size("__lines") - s["at"]))
     df = df.withColumn("__lines", lines_of(text)).drop(text)
-    df = df.select("*", F.explode(found).alias("__b")).select("*", "__b.*")
+    df = df.select("*", F.explode(F.aggregate(numbered, blank, step, whole)).alias("__b")).select("*", "__b.*")
     return df.withColumn("body", F.array_join(F.slice("__lines", F.col("start_line") + 1, F.col("size")), "\n")).drop("__b", "__lines", "size")
