@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set here only where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a folder of this machine serves local runs only, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("specgraph.local.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="specgraph-")
         spark.conf.set("specgraph.local.dir", found)
     return found
@@ -31,12 +34,32 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, compressed by codec or as the session says: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/specgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    # Small row groups, and pages whose size is looked at often: a task that writes large values buffers one of each, and one that reads them takes a page whole.
+    df.write.option("parquet.block.size", 32 << 20).option("parquet.page.size.row.check.min", 8).parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of text that a Python worker is given at once. Spark's own bound is 64 MB, of which a worker holds two or three copies and the JVM one more.
-BATCH = 4 << 20
+BATCH = 2 << 20
+
+
+def _trim() -> None:
+    """Gives back what the allocators of this process hold without using it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only glibc has it
+        trim(0)
+
+
+def lean(run):
+    """run (batches to batches), for workers that live on between tasks: returns freed memory to the system after each batch and at the end."""
+
+    def go(batches):
+        for out in run(batches):
+            yield out
+            _trim()
+        _trim()
+
+    return go
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
@@ -150,7 +173,7 @@ class IdFilter:
                 b = b.drop_columns(["__spots"])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], [*b.schema.names, "__may"])
 
-        return in_small_batches(df.withColumn("__spots", self.spots(column))).mapInArrow(run, schema)
+        return in_small_batches(df.withColumn("__spots", self.spots(column))).mapInArrow(lean(run), schema)
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
         """The rows of df whose id may be among the ids."""

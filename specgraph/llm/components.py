@@ -1,13 +1,18 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components: alternating large and small stars; a few edges are joined in one task."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+#: So many edges at most go to one task (4 MB of them); more take the rounds, which no task has to hold.
+FEW = 1 << 18
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the component's smallest node.
 
@@ -15,6 +20,8 @@ def stars(edges: DataFrame) -> DataFrame:
     An empty edge table gives no rows; loops and repeated edges don't matter.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.count() <= FEW:
+        return now.coalesce(1).mapInArrow(_joined, "node long, root long")
     before = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -29,3 +36,26 @@ def stars(edges: DataFrame) -> DataFrame:
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
         now = written(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _joined(batches):
+    """Union by the smaller root over all edges of the task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            for x in (a, b):
+                root.setdefault(x, x)
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])

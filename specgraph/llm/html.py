@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 _TAG = re.compile(r"""<(?:!--(?P<note>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)>?|(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+[^>]*)(?:>|\Z))""", re.S)
 # Element names, and words of class, id and role attributes.
@@ -244,9 +244,9 @@ def extract(pages: DataFrame, neighbours: int = 1) -> DataFrame:
             text = [finished(z, p, {*s, *(m or ())}) for z, p, s, m in zip(*(b.column(c).to_pylist() for c in ("zones", "packed", "shared", "more")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    parsed = pages.select("page_id", "url", "html").mapInArrow(parse, "page_id long, url string, host string, path string, marks array<long>, zones binary, packed binary")
+    parsed = pages.select("page_id", "url", "html").mapInArrow(lean(parse), "page_id long, url string, host string, path string, marks array<long>, zones binary, packed binary")
     order = ["host", "path", "page_id"]
-    found = parsed.repartitionByRange(*order).sortWithinPartitions(*order).select(*fields).mapInArrow(difference, f"page_id long, url string, text string, n_chars long, part int, place long, {kinds.split(', ', 2)[2]}, shared array<int>")
+    found = parsed.repartitionByRange(*order).sortWithinPartitions(*order).select(*fields).mapInArrow(lean(difference), f"page_id long, url string, text string, n_chars long, part int, place long, {kinds.split(', ', 2)[2]}, shared array<int>")
     found = written(found, "differenced", "zstd")
     edges = found.where("part is not null")
     # At most 2 * neighbours rows of each task.
@@ -260,5 +260,5 @@ def extract(pages: DataFrame, neighbours: int = 1) -> DataFrame:
                 more[n].update(j)
     add = [(r["part"], r["place"], sorted(m)) for r, m in zip(rows, more, strict=True) if m]
     add = pages.sparkSession.createDataFrame(add, "part int, place long, more array<int>")
-    ends = edges.join(add.hint("merge"), ["part", "place"], "left").select("page_id", "url", "zones", "packed", "shared", "more").mapInArrow(finish, "page_id long, url string, text string, n_chars long")
+    ends = edges.join(add.hint("merge"), ["part", "place"], "left").select("page_id", "url", "zones", "packed", "shared", "more").mapInArrow(lean(finish), "page_id long, url string, text string, n_chars long")
     return found.where("part is null").select("page_id", "url", "text", "n_chars").union(ends)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, IdFilter, Rolling, bytes_of, in_small_batches, mix, slices, written
+from .common import LOWER, SPACE, IdFilter, Rolling, bytes_of, in_small_batches, lean, mix, slices, written
 from .components import stars
 
 K, MATCH = 64, 36
@@ -97,7 +97,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(nodes, pa.int64()), full, *(pa.array(x[:, k].copy()) for x in (low, odd) for k in range(8))], ["doc_id", "n_shingles", "node", "sig", *PACKED, *ODD_BITS])
 
     schema = "doc_id long, n_shingles long, node long, sig array<int>, " + ", ".join(f"{s} long" for s in PACKED + ODD_BITS)
-    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(lean(run), schema)
 
 
 def agree(left: str, right: str) -> str:
@@ -130,7 +130,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "items"])
 
-    return in_small_batches(docs).mapInArrow(run, "node long, items binary")
+    return in_small_batches(docs).mapInArrow(lean(run), "node long, items binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,11 +147,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 #: Posting lists are compared in chunks of about so many members, each pair of chunks by itself.
-CHUNK, BLOCK = 4096, 512
+CHUNK, BLOCK = 1024, 512
+#: Rounds in which each posting list links its members to one of them, before members of different groups are compared one by one.
+STARS = 3
 
 
 #: Pairs whose signatures are compared at once.
@@ -220,8 +222,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Exact copies (equal sets) are one node from the start, whatever their number. A row with a null doc_id carries a null component_id and isn't
     kept; rows that share a doc_id give one row each. An empty table gives no rows; columns other than doc_id and text aren't read.
 
-    Two rounds find all links that matter to the groups. First each posting list links its members to one of them; what the full sets confirm joins
-    groups. Then only members of different groups are compared, list by list, if their set sizes allow the threshold at all.
+    Links are found in rounds. In a star round each posting list offers one member of its largest group to its members of other groups, another one
+    each round; what the full sets confirm joins groups, so a large group of near copies is one group after two or three rounds of as many pairs as
+    the lists have rows. Rounds end when one confirms nothing, or after STARS. Then members of different groups are compared, list by list: the
+    largest group's members in chunks, each with all the others, so that what a list sends grows with what is still apart in it.
+
+    The lists beyond a member's prefix are the long ones; they are skipped, and only probed (coordinate by coordinate) for pairs that the prefixes
+    bring together.
     """
     sk = written(sketches(docs, size), "sketches")
     sketch = ["n", *PACKED, *ODD_BITS]
@@ -236,40 +243,79 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select("node", F.explode(F.slice("held", F.lit(1), F.size("held") - MATCH + 1)).alias("t")).select("node", "t.token")
     )
     posted = written(posted, "posted")
-    parity = " + ".join(f"bit_count(p.{s} ^ q.{s})" for s in ODD_BITS)
-    fits = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) and {100 + percent} * ({parity}) <= {100 - percent} * (p.n + q.n) and {agree('p', 'q')} >= {MATCH}"
-    lists = posted.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("df")).where("df > 1")
-    star = posted.join(lists, "token").where("node <> a").groupBy("a", "node").agg(F.count("*").alias("hits"))
-    of = reps.select("node", *sketch)
-    star = star.join(of.select("node", F.struct(*sketch).alias("q")), "node").join(of.select(F.col("node").alias("one"), F.struct(*sketch).alias("p")), F.expr(f"a = one and {fits}"))
-    first = written(star.select("a", F.col("node").alias("b")), "pairs")
     active = posted.select("node").distinct().join(reps.select("node", "rep"), "node")
-    sets = full_sets(docs, active, size)
-    linked = written(confirmed(first, sets, percent).distinct(), "links")
-    group = stars(linked)
-    held = posted.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    sizes = held.join(mixed, "token").groupBy("token").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
-    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
-    held = held.join(sizes, "token")
-    masks = held.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
-    held = held.withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    held = held.join(masks.join(reps.select("node", "n", *ODD_BITS, "sig"), "node"), "node").select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "mask", *ODD_BITS, "sig")
-    by = ["token", "i", "j"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    second = held.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(across(percent), "a long, b long")
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    group = written(group, "groups")
-    nodes = reps.select("node", "rep").join(group, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
+    sets = written(full_sets(docs, active, size), "sets", "uncompressed")  # hashes can't be compressed
+    group = active.select("node", F.col("node").alias("root"))
+    held = posted.withColumn("root", F.col("node"))
+    for turn in range(STARS):
+        offers = written(_offers(held.withColumn("turn", F.lit(turn)), reps.select("node", *sketch), percent), "offers")
+        links = written(confirmed(offers, _only(sets, offers) if turn else sets, percent).distinct(), "links")
+        if links.isEmpty():
+            break
+        group = written(_merged(group, links), "groups")
+        held = written(_mixed(held.select("token", "node").join(group, "node")), "held")
+    second = written(_apart(held, reps, percent), "pairs")
     if not second.isEmpty():
-        # Links between groups join the groups: their graph has a node for each group only.
-        own = lambda side: nodes.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        between = confirmed(second, sets, percent).join(own("b"), "b").join(own("a"), "a").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
-        whole = stars(between).select(F.col("node").alias("root"), F.col("root").alias("whole"))
-        nodes = nodes.join(whole, "root", "left").select("node", F.coalesce("whole", "root").alias("root"), "rep")
-    nodes = written(nodes, "nodes")
+        group = written(_merged(group, confirmed(second, _only(sets, second), percent)), "groups")
+    nodes = written(reps.select("node", "rep").join(group, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep"), "nodes")
     least = nodes.groupBy("root").agg(F.min("rep").alias("component"))
     nodes = nodes.join(least, "root").select("node", "component")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = sk.select("doc_id", "n_shingles", "node").join(nodes, "node", "left")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the nodes in pairs; where these are few, Spark broadcasts them and shuffles no sets."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return written(sets.join(ids, "node", "left_semi"), "some-sets", "uncompressed")
+
+
+def _mixed(held: DataFrame) -> DataFrame:
+    """The lists (token, node, root) that still hold more than one group."""
+    lists = held.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return held.join(lists, "token").select("token", "node", "root")
+
+
+def _offers(held: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a star round that sizes, parities and coordinates allow: in each list, a member of its largest group with all of other groups.
+
+    held: token, node, root, turn (a column, so that the rounds share their compiled code).
+    """
+    by_root = held.groupBy("token", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "turn"), "node")).alias("one"))
+    hub = by_root.groupBy("token").agg(F.max(F.struct("n", F.col("one.col1").alias("u"), F.col("one.node").alias("node"), "root")).alias("h"), F.count("*").alias("roots")).where("roots > 1")
+    met = held.join(hub.select("token", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root")), "token").where("root <> hub_root")
+    met = met.groupBy("hub", "node").agg(F.count("*").alias("hits"))
+    parity = " + ".join(f"bit_count(p.{s} ^ q.{s})" for s in ODD_BITS)
+    fits = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) and {100 + percent} * ({parity}) <= {100 - percent} * (p.n + q.n) and {agree('p', 'q')} >= greatest({MATCH}, hits)"
+    names = sketch.columns[1:]
+    met = met.join(sketch.select("node", F.struct(*names).alias("q")), "node").join(sketch.select(F.col("node").alias("hub"), F.struct(*names).alias("p")), "hub")
+    return met.where(fits).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
+def _merged(group: DataFrame, links: DataFrame) -> DataFrame:
+    """group (node, root) after links (a, b): the graph that is searched has a node for each group only."""
+    own = lambda side: group.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    between = links.join(own("b"), "b").join(own("a"), "a").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b").distinct()
+    whole = stars(between).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    return group.join(whole, "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
+
+
+def _apart(held: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of different groups in one list whose sizes, parities and coordinates allow a link.
+
+    A list's largest group needs no comparison within: chunks of the others (0 and up) meet each other and the chunks of the largest group (behind them).
+    """
+    roots = held.groupBy("token", "root").agg(F.count("*").alias("n"))
+    lists = roots.groupBy("token").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    lists = lists.select("token", F.col("top.root").alias("top"), F.ceil(F.col("top.n") / CHUNK).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("top.n")) / CHUNK).cast("int").alias("others"))
+    held = held.join(lists, "token")
+    masks = held.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
+    spot, of_top = F.xxhash64("node", F.lit(3)), F.col("root") == F.col("top")
+    own = F.when(of_top, F.col("others") + F.pmod(spot, F.col("tops"))).otherwise(F.pmod(spot, F.col("others"))).cast("int")
+    held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(of_top, F.lit(0)).otherwise(F.col("tops")))))
+    held = held.select("token", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    held = held.join(masks.join(reps.select("node", "n", *ODD_BITS, "sig"), "node"), "node").select("token", "i", "j", "own", "node", "root", "n", "mask", *ODD_BITS, "sig")
+    by = ["token", "i", "j"]
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return held.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(lean(across(percent)), "a long, b long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Rolling, bytes_of, in_small_batches, slices, written
+from .common import LOWER, SPACE, Rolling, bytes_of, in_small_batches, lean, slices, written
 
 NAMES = ("log_bytes", "log_words", "word_bytes", "upper", "symbols", "bars", "shouts", "digits", "new_lines", "stops", "distinct", "repeats", "top_word", "symbol_words")
 #: Weight of the diagonal in each class covariance, and of what both classes share.
@@ -85,7 +85,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], ["doc_id", "x"])
 
-    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, x array<double>")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 class Discriminant:
@@ -133,7 +133,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c), pa.int32()), pa.array(np.arange(len(v)), pa.int32()), pa.array(v)], ["y", "k", "v"])
 
     joined = stats.join(labels.select("doc_id", F.col("y").cast("int").alias("y")), "doc_id").select("x", "y")
-    rows = joined.mapInArrow(run, "y int, k int, v double").groupBy("y", "k").agg(F.sum("v").alias("v")).orderBy("y", "k").collect()
+    rows = joined.mapInArrow(lean(run), "y int, k int, v double").groupBy("y", "k").agg(F.sum("v").alias("v")).orderBy("y", "k").collect()
     moments = {}
     for c in (0, 1):
         v = np.array([r["v"] for r in rows if r["y"] == c])
@@ -164,7 +164,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
             x = np.asarray(b.column("x").flatten()).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = stats.mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -181,4 +181,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
             if parts:
                 yield batch.filter(pa.array(model.score(np.concatenate(parts)) >= threshold))
 
-    return in_small_batches(docs).mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(lean(run), docs.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Columns
-from .common import IdFilter, Rolling, bytes_of, mix, slices, written
+from .common import IdFilter, Rolling, bytes_of, lean, mix, slices, written
 
 LENGTH, PIECE, STEP = 400, 128, 50
 CORE = LENGTH - STEP + 1
@@ -197,7 +197,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     steps 1 and 2, and of 128 bits for cores. A text of any length is read whole, in chunks of 2 MB. However many rows share a core, a task orders HOT + TOGETHER of them at most.
     """
     docs = _keyed(docs)
-    found = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, "rid long, p long, s0 long, s1 long, piece long, whole long")
+    found = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(lean(_anchors), "rid long, p long, s0 long, s1 long, piece long, whole long")
     found = written(found.withColumn("p", F.col("p").cast("int")).withColumn("s0", F.col("s0").cast("int")).withColumn("s1", F.col("s1").cast("int")), "anchors")
     twice = found.groupBy("piece").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1").select("piece", (F.col("lo") == F.col("hi")).alias("same"))
     marked = written(found.join(twice, "piece"), "shared")
@@ -208,19 +208,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     full = mixed.join(kinds.where("n > 1").select("piece", "whole"), ["piece", "whole"])
     border = kinds.select("one.*", (F.col("n") == 1).alias("need")).groupBy("rid").agg(F.collect_list(F.struct("p", "s0", "s1", "need")).alias("found"))
     texts = IdFilter(border.select(F.col("rid").alias("id"))).keep(docs, "rid")
-    cut = written(texts.join(border, "rid").select("rid", "text", "found").mapInArrow(_cut, CUT), "cut")
+    cut = written(texts.join(border, "rid").select("rid", "text", "found").mapInArrow(lean(_cut), CUT), "cut")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = span(marked.where("same")).union(span(full)).select("rid", F.col("a").cast("long").alias("a"), F.col("z").cast("long").alias("z"))
     while True:
         groups = cut.groupBy("core").agg(F.count("*").alias("n"), F.max("need").alias("any"), F.min("more").alias("more")).where("n > 1 and any").select("core", "n", "more")
         groups = written(groups, "groups")
         of = lambda some, cut=cut, groups=groups: cut.join(groups.where(some).select("core"), "core")
-        spans = spans.union(of(f"more > 0 and n <= {HOT}").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(_order, "rid long, a long, z long"))
+        spans = spans.union(of(f"more > 0 and n <= {HOT}").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(lean(_order), "rid long, a long, z long"))
         # Nothing beside the core: the group's rows are one string.
         spans = spans.union(of("more = 0").where("need").select("rid", "a", (F.col("a") + LENGTH).alias("z")))
         if groups.where(f"more > 0 and n > {HOT}").isEmpty():
             break
-        cut = written(of(f"more > 0 and n > {HOT}").mapInArrow(_part, CUT), "cut")
+        cut = written(of(f"more > 0 and n > {HOT}").mapInArrow(lean(_part), CUT), "cut")
     spans = written(spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans")), "spans")
     touched = IdFilter(spans.select(F.col("rid").alias("id")))
 
@@ -248,6 +248,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
     maybe, clean = touched.split(docs, "rid")
-    changed = maybe.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(keep, schema)
+    changed = maybe.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(lean(keep), schema)
     same = clean.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.array().cast("array<array<long>>").alias("spans"))
     return changed.union(same)
