@@ -89,6 +89,10 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
     return give
 
 
+#: Tables of so many rows at most (one for each set of sources, or each set and size) are broadcast: some 3 MB.
+SMALL = 100_000
+
+
 def mix(docs: DataFrame, sources="source", weights: tuple[int, ...] = WEIGHTS, most: int = REPEATS, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row, and the columns named in keep.
 
@@ -121,16 +125,17 @@ def mix(docs: DataFrame, sources="source", weights: tuple[int, ...] = WEIGHTS, m
     plan = [(list(r["pattern"]), whole[index[r["pattern"][0]]], goal[index[r["pattern"][0]]], (f := sum(g.values())) // max(1, r["size"]), f % max(1, r["size"])) for r, g in zip(found, flow, strict=True)]
     plan = docs.sparkSession.createDataFrame(plan, "pattern array<string>, source_size long, target double, times long, rest long")
     plan = plan.withColumn("p", F.xxhash64(F.to_json(F.struct("pattern"))))
+    small = F.broadcast if len(found) <= SMALL else (lambda df: df)
     base = base.withColumn("p", F.xxhash64(F.to_json(F.struct("pattern")))).drop("pattern")
-    chosen = _chosen(base.where("size > 0").select("p", "row", "size", "u"), plan.where("rest > 0").select("p", "rest"))
-    out = base.join(plan.drop("pattern"), "p").join(chosen.withColumn("more", F.lit(1)), "row", "left")
+    chosen = _chosen(base.where("size > 0").select("p", "row", "size", "u"), plan.where("rest > 0").select("p", "rest"), small)
+    out = base.join(small(plan.drop("pattern")), "p").join(chosen.withColumn("more", F.lit(1)), "row", "left")
     taken = F.col("size") * (F.col("times") + F.coalesce("more", F.lit(0)))
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *keep)
 
 
-def _chosen(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+def _chosen(rows: DataFrame, gaps: DataFrame, small) -> DataFrame:
     """The row numbers that fill each pattern's rest: in the order of u as far as it goes, then as many of each size as fit, the largest first."""
-    first, later = _in_order(rows, gaps)
+    first, later = _in_order(rows, gaps, small)
     sizes = later.groupBy("p", "size", "gap").agg(F.count("*").alias("n"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -144,31 +149,34 @@ def _chosen(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     use = written(sizes.groupBy("p").applyInPandas(fill, "p long, size long, rest long"), "fills")
     # Rows of one size fill what they have to without a gap.
     both = F.xxhash64("p", "size").alias("p")
-    more, _ = _in_order(later.join(use.select("p", "size"), ["p", "size"], "left_semi").select(both, "row", "size", "u"), use.select(both, "rest"))
+    few = F.broadcast if use.count() <= SMALL else (lambda df: df)
+    more, _ = _in_order(later.join(few(use.select("p", "size")), ["p", "size"], "left_semi").select(both, "row", "size", "u"), use.select(both, "rest"), few)
     return first.union(more)
 
 
-def _in_order(rows: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _in_order(rows: DataFrame, gaps: DataFrame, small) -> tuple[DataFrame, DataFrame]:
     """The row numbers that fill each pattern's rest in the order of u, up to the first row that is too large, and the later rows (p, row, size, u, gap) that fit the gap.
 
-    By bins of u, then by bins within the bin where the rest ends, then by row.
+    By bins of u, then by bins within the bin where the rest ends, then by row. small: broadcasts what has a row for each pattern, if these are few.
     """
-    rows = rows.join(gaps.select("p"), "p", "left_semi").withColumn("b1", F.shiftrightunsigned("u", 52)).withColumn("b2", F.shiftrightunsigned("u", 40) % 4096)
+    rows = rows.join(small(gaps.select("p")), "p", "left_semi").withColumn("b1", F.shiftrightunsigned("u", 52)).withColumn("b2", F.shiftrightunsigned("u", 40) % 4096)
+    rows = written(rows, "rows")
 
     def edge(binned: DataFrame, gaps: DataFrame, b: str) -> DataFrame:
         """p, the bin where the rest ends, and what is left of the rest there."""
         before = F.sum("size").over(W.partitionBy("p").orderBy(b).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-        sums = binned.groupBy("p", b).agg(F.sum("size").alias("size")).withColumn("before", before).join(gaps, "p")
+        sums = binned.groupBy("p", b).agg(F.sum("size").alias("size")).withColumn("before", before).join(small(gaps), "p")
         return sums.where("before <= rest").groupBy("p").agg(F.max_by(F.struct(F.col(b).alias("at"), (F.col("rest") - F.col("before")).alias("rest")), b).alias("e")).select("p", F.col("e.at").alias(f"{b}_at"), F.col("e.rest").alias("rest"))
 
     one = edge(rows, gaps, "b1")
-    two = edge(rows.join(one.select("p", "b1_at"), "p").where("b1 = b1_at"), one.select("p", "rest"), "b2")
-    at = written(one.select("p", "b1_at").join(two, "p"), "edges")
-    rows = rows.join(at, "p")
+    one = written(one, "edges")
+    two = edge(rows.join(small(one.select("p", "b1_at")), "p").where("b1 = b1_at"), one.select("p", "rest"), "b2")
+    at = written(one.select("p", "b1_at").join(small(two), "p"), "edges")
+    rows = rows.join(small(at), "p")
     full = rows.where("b1 < b1_at or (b1 = b1_at and b2 < b2_at)").select("row")
     last = rows.where("b1 = b1_at and b2 = b2_at").withColumn("sum", F.sum("size").over(W.partitionBy("p").orderBy("u", "row")))
     fit = last.where("sum <= rest")
     filled = fit.groupBy("p").agg(F.max("sum").alias("sum"))
-    left = at.join(filled, "p", "left").select("p", (F.col("rest") - F.coalesce("sum", F.lit(0))).alias("gap"))
+    left = written(at.join(filled, "p", "left"), "gaps").select("p", (F.col("rest") - F.coalesce("sum", F.lit(0))).alias("gap"))
     later = rows.where("b1 > b1_at or (b1 = b1_at and b2 > b2_at)").select("p", "row", "size", "u").union(last.where("sum > rest").select("p", "row", "size", "u"))
-    return full.union(fit.select("row")), later.join(left, "p").where("size <= gap")
+    return full.union(fit.select("row")), written(later.join(small(left), "p").where("size <= gap"), "later")
