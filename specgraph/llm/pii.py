@@ -24,7 +24,7 @@ BASE = {
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][0-9\x20-]{10,}[0-9]", "phone": r"\+[0-9]"}
 #: High-recall generators of further spans; they overlap one another and much that is no personal data.
 MORE = {
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+\x20?(?:\(at\)|\[at\]|\{{at\}}|\x20at\x20|@)\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:\(dot\)|\[dot\]|\{{dot\}}|\x20dot\x20)\x20?[A-Za-z0-9-]{{1,63}}){{1,4}}",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+\x20?(?:\(at\)|\[at\]|\{{at\}}|\x20at\x20|@)\x20?[A-Za-z0-9-]{{1,63}}(?:(?:\x20?(?:\(dot\)|\[dot\]|\{{dot\}}|\x20dot\x20)\x20?|\.)[A-Za-z0-9-]{{1,63}}){{1,4}}",
     "ip": r"(?<![0-9A-Za-z.:])(?:[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20./_-]{1,3}[0-9]{4}){2}[\x20./_-]{1,3}[0-9]{1,7}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:00[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{0,2}[0-9]{2,4}[\x20.-]?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4})?(?![0-9A-Za-z])",
@@ -41,21 +41,31 @@ FEATURES = ("sort", "length", "digits", "groups", "brackets", "dashes", "spaces"
 TREES, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.98
 
 
+def _let(expr: Column, body) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(expr), body), 0)
+
+
+def _sums(steps: Column, block: int = 64) -> Column:
+    """Running sums of an array of ints, in blocks: cost grows with the length times its blocks' number, not with its square."""
+
+    def added(values: Column) -> Column:
+        return F.aggregate(values, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / block).cast("int") - 1, F.lit(0))), lambda i: added(F.slice(v, i * block + 1, F.lit(block))))
+        ends = lambda b: F.concat(F.array(F.lit(0)), added(F.transform(b, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0)))))
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, F.slice(ends(b), F.lit(1), F.size(b)), lambda x, base: F.transform(x, lambda y: y + base))))
+
+    return _let(steps, of)
+
+
 def _found(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the leftmost matches that don't overlap; positions in code points."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("all")),
-        lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-                F.array_append(acc["all"], F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))).alias("all"),
-            )
-        ),
-        lambda acc: acc["all"],
-    )
-    return start
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    sized = F.transform(F.filter(both, lambda x: x["hit"].isNotNull()), lambda x: F.struct((F.length(x["gap"]) + F.length(x["hit"])).alias("step"), F.length(x["hit"]).alias("size"), x["hit"].alias("value")))
+    place = lambda x, end: F.struct((end - x["size"]).alias("start"), end.alias("end"), x["value"].alias("value"))
+    return _let(sized, lambda v: F.zip_with(v, _sums(F.transform(v, lambda x: x["step"])), place))
 
 
 _NONE = "array<struct<start:int,end:int,value:string>>"
@@ -134,10 +144,12 @@ class Trees:
         # On the third of the lines that no tree has seen: a slope and a shift that calibrate, then the lowest threshold with the precision asked for.
         z, t = self.raw(x[~fit]), y[~fit]
         self.slope, self.shift = 1.0, 0.0
-        for _ in range(200):
+        for _ in range(25):  # Newton steps, slightly damped so that separable scores stay finite
             p = 1 / (1 + np.exp(-(self.slope * z + self.shift)))
-            self.slope -= 0.5 * float(((p - t) * z).mean()) / max(1.0, float((z * z).mean()))
-            self.shift -= 0.5 * float((p - t).mean())
+            g, h = np.array([((p - t) * z).sum() + 0.01 * (self.slope - 1), (p - t).sum()]), p * (1 - p)
+            hess = np.array([[(h * z * z).sum() + 0.01, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
+            d = np.linalg.solve(hess, g)
+            self.slope, self.shift = float(self.slope - d[0]), float(self.shift - d[1])
         prob, self.cut = 1 / (1 + np.exp(-(self.slope * z + self.shift))), []
         for k in range(len(KINDS)):
             own = x[~fit][:, 0] == k
@@ -184,35 +196,67 @@ class Trees:
 
 
 def made_up(seed: int = 11, n: int = 2400) -> list[tuple[str, int]]:
-    """Lines that hold one candidate each, and whether it is personal data: n of them, drawn from a seed."""
+    """Lines that hold one candidate each, and whether it is personal data: n of them, drawn from a seed.
+
+    A line is put together from parts drawn independently: words in front, a format, separators, digits, words behind. So no line's form fixes its label
+    alone: bare numbers count by what stands in front, spelled addresses by how they are spelled.
+    """
     r, out = random.Random(seed), []
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    w = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 8)))
+    w = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
+    near = {
+        "phone": "call phone tel: tel. fax mobile cell handy telefon dial whatsapp number: reach".split(), "email": "mail contact write e-mail: email kontakt correo send reach".split(),
+        "ip": "host ip from server login address: node peer".split(), "card": "card visa credit-card mastercard debit karte pay".split(),
+        "other": "order invoice ticket isbn ref serial page row total sum year date item batch build id no. version nr article lot".split(),
+    }
+
+    def words(lo: int, hi: int) -> str:
+        return " ".join(w() for _ in range(r.randint(lo, hi)))
+
+    def digits(groups: tuple[int, ...], seps: str) -> str:
+        sep = r.choice(seps)
+        return sep.join(d(k) for k in groups)
+
+    def phone() -> str:
+        form = r.choice(((3, 3, 4), (3, 4), (4, 6), (5, 5), (2, 2, 2, 2), (3, 2, 2), (2, 4, 4)))
+        body = digits(form, " .-/")
+        if r.random() < 0.35:
+            body = f"({d(r.randint(2, 4))}){r.choice(['', ' ', '-'])}{digits(form[1:] or form, ' .-')}"
+        return f"00{r.choice(['49', '33', '34', '44', '1', '39', '351'])}{r.choice(' .-')}{body}" if r.random() < 0.25 else body
+
+    def email() -> tuple[str, int]:
+        at = r.choice(["(at)", "[at]", "{at}", " at ", " (at) ", " [at] "])
+        dot = r.choice([".", ".", "(dot)", "[dot]", " dot ", " (dot) "])
+        local = r.choice([f"{w()}.{w()}", f"{w()}{d(2)}", w(), f"{w()}_{w()}"])
+        tld = r.choice("com org net edu de fr es it io info eu uk ch".split())
+        spelled = at.strip() != "at" or dot.strip() == "dot" or "." in local or local[-1].isdigit() or "_" in local
+        return f"{local}{at}{w()}{r.choice(['', '-' + w()])}{dot}{tld}", int(spelled)
+
     for _ in range(n):
-        sep = r.choice(" .-")
-        tld = r.choice(["com", "org", "net", "de", "fr", "es", "io"])
-        at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", " (dot) "), ("{at}", "{dot}")])
-        good = [
-            f"{r.choice(['mail', 'contact', 'write to', w()])} {w()}.{w()}{at}{w()}{dot}{tld} {w()}",
-            f"{r.choice(['call', 'tel:', 'phone', 'fax', 'mobile'])} ({d(3)}) {d(3)}-{d(4)} {w()}",
-            f"{r.choice(['call', 'tel.', 'phone', w()])} ({d(3)}) {d(3)}{sep}{d(4)} {w()}",
-            f"{r.choice(['tel:', 'phone:', 'call'])} {r.choice('23456789')}{d(2)}{sep}{d(3)}{sep}{d(4)} {w()}",
-            f"{r.choice(['tel:', 'call', 'handy'])} 00{r.choice(['49', '33', '34', '44'])} {d(3)} {d(3)} {d(4)} {w()}",
-            f"{r.choice(['host', 'ip', 'from', w()])} {r.randint(1, 255)}[.]{r.randint(0, 255)}[.]{r.randint(0, 255)}[.]{r.randint(1, 255)} {w()}",
-            f"{r.choice(['ip', 'host'])} {':'.join(f'{r.randint(1, 65535):x}' for _ in range(8))} {w()}",
-            f"{r.choice(['card', 'visa', 'credit card'])} {r.choice('45')}{d(3)}{r.choice(['.', '/', '  '])}{d(4)}.{d(4)}.{d(4)} {w()}",
-        ]
-        bad = [
-            f"{w()} {w()} at {w()} dot {w()} {w()}",
-            f"{w()} at the {w()} dot {w()} {w()}",
-            f"order {d(3)}-{d(3)}-{d(4)} {w()}", f"{r.choice(['isbn', 'invoice', 'ticket', 'serial'])} {d(3)}-{d(4)}-{d(3)} {w()}",
-            f"{w()} {r.choice(['19', '20'])}{d(2)}-{d(2)}-{d(2)} {d(2)} {w()}", f"{r.choice(['total', 'sum', 'row', w()])} {d(3)} {d(3)} {d(3)} {w()}",
-            f"{w()} {d(9)} {w()}", f"id {d(10)} {w()}", f"page {d(2)}-{d(3)} {d(3)}", f"{w()} {d(4)} {d(4)} {d(4)} {d(4)} {w()}", f"version {d(2)}.{d(3)}.{d(4)} {w()}",
-            f"batch {d(4)}/{d(4)}/{d(4)}/{d(4)} {w()}", f"{w()} {d(12)} {w()}", f"{w()} {d(3)}.{d(3)}.{d(3)} {w()}", f"{w()} {d(4)}-{d(4)} {w()}",
-            f"time {':'.join(d(2) for _ in range(8))} {w()}",
-        ]
-        y = int(r.random() < 0.5)
-        out.append((f"{w()} {w()} {r.choice(good if y else bad)}", y))
+        kind, good = r.choice(("phone", "phone", "email", "ip", "card")), r.random() < 0.5
+        front = r.choice(near[kind if good else "other"]) if r.random() < 0.85 else w()
+        if kind == "email":
+            text, y = email()
+            if not good:
+                text, y = f"{w()} at {w()} dot {w()}" if r.random() < 0.5 else f"{w()} at {w()}.{r.choice(['com', 'txt', w(), w()])}", 0
+            front = r.choice([front, w(), w()])
+        elif kind == "phone":
+            text = phone()
+            # Without a telling word in front, brackets or a leading 00 tell.
+            y = int(front in near["phone"] or ((text[0] == "(" or text.startswith("00")) and front not in near["other"]))
+            if r.random() < 0.15:
+                text, y = f"{r.choice(['19', '20'])}{d(2)}{r.choice('-./ ')}{d(2)}{r.choice('-./ ')}{d(2)} {d(2)}", 0
+        elif kind == "ip":
+            if r.random() < 0.6:
+                text, y = r.choice(["[.]", "(.)", "[dot]"]).join(str(r.randint(0, 255)) for _ in range(4)), 1
+            elif r.random() < 0.5:
+                text, y = ":".join(f"{r.randint(0, 65535):x}" for _ in range(8)), 1
+            else:
+                text, y = ":".join(d(2) for _ in range(8)), 0
+        else:
+            text = digits((4, 4, 4, 4) if r.random() < 0.8 else (4, 4, 4, 3), "./-_")
+            y = int(front in near["card"])
+        out.append((" ".join(x for x in (words(0, 4), front, text, words(0, 3)) if x), y))
     return out
 
 
@@ -229,11 +273,33 @@ def fitted(spark: SparkSession, seed: int = 11) -> Trees:
     return _FITTED[seed]
 
 
+_SCORED = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans with scores those that stay: the likeliest first (then the earlier), each unless one that stays overlaps it.
+
+    Spans are taken in order of their starts, run by run of overlapping ones; only within a run each is compared with what stays there.
+    """
+    clash = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    ranked = lambda run: F.array_sort(F.transform(run, lambda c: F.struct((-c["score"]).alias("o"), c["start"].alias("start"), c["rank"].alias("rank"), c.alias("c"))))
+    stay = lambda run: F.aggregate(F.transform(ranked(run), lambda x: x["c"]), F.array().cast(_SCORED), lambda acc, c: F.when(F.exists(acc, lambda o: clash(o, c)), acc).otherwise(F.array_append(acc, c)))
+    state = lambda end, run, out: F.struct(end.alias("end"), run.alias("run"), out.alias("out"))
+
+    def step(acc, c):
+        closed = state(c["end"], F.array(c), F.concat(acc["out"], stay(acc["run"])))
+        return F.when(c["start"] >= acc["end"], closed).otherwise(state(F.greatest(acc["end"], c["end"]), F.array_append(acc["run"], c), acc["out"]))
+
+    none = F.array().cast(_SCORED)
+    return F.aggregate(F.array_sort(spans), state(F.lit(0), none, none), step, lambda acc: F.concat(acc["out"], stay(acc["run"])))
+
+
 def with_spans(docs: DataFrame, seed: int = 11) -> DataFrame:
     """docs and two columns more: base and spans, arrays of struct<start, rank, end, kind> by start, then kind (KINDS' order).
 
     start and end count code points, end is exclusive. base: the leftmost non-overlapping matches of each kind's pattern that pass its test. spans:
-    base, and the candidates that the trees accept; of accepted ones that overlap the likelier stays, then the earlier. A null text is empty and
+    base, and the candidates that the trees accept; of accepted ones that overlap the likelier stays, then the earlier, and one gives way only to one that
+    stays itself. A text of any length is read whole. A null text is empty and
     gives empty arrays; so does a text without personal data. Columns named base or spans are replaced.
     """
     trees = fitted(docs.sparkSession, seed)
@@ -243,9 +309,7 @@ def with_spans(docs: DataFrame, seed: int = 11) -> DataFrame:
     scored = F.transform("__c", lambda c: F.struct(*[c[n].alias(n) for n in ("start", "rank", "end", "kind")], trees.column(c).alias("score")))
     out = docs.withColumn("base", base_spans(text)).withColumn("__c", candidates(text, F.col("base")))
     out = out.withColumn("__c", F.when(F.size("__c") > 0, F.filter(scored, lambda c: c["score"] >= cut(c))))
-    ahead = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["rank"] < b["rank"]))))
-    beats = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & ahead(a, b)
-    best = F.transform(F.filter("__c", lambda c: ~F.exists("__c", lambda o: beats(o, c))), slim)
+    best = F.transform(_apart(F.col("__c")), slim)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce(best, none)))).drop("__c")
 
