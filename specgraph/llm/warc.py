@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
 from .html import SITE, lines
 
 RESPONSE = "record_id string, target_uri string, date string, headers map<string,string>, http binary"
@@ -46,7 +47,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["page_id", "record_id", "target_uri", "date", "headers", "http"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id long, {RESPONSE}")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(run), f"page_id long, {RESPONSE}")
 
 
 def _split(http: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -115,23 +116,42 @@ def derivatives(source: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(f.name).take(pa.array(at, pa.int32())) for f in fields), *arrays], [*(f.name for f in fields), *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), RECORD])
-    return source.select(*[f.name for f in fields], "record_id", "target_uri", "date", "headers", "http").mapInArrow(run, schema)
+    return source.select(*[f.name for f in fields], "record_id", "target_uri", "date", "headers", "http").mapInArrow(lean(run), schema)
 
 
 def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """RECORD rows as WARC files, by Spark's own writer; a record ends with the two line ends that the format asks for."""
-    line = lambda name, col: F.concat(F.lit(f"{name}: "), col, F.lit("\r\n"))
+    """RECORD rows as WARC files, by Spark's own writer; a record ends with the two line ends that the format asks for. A null column is an empty value.
+
+    A file is one gzip member: readers that jump to a record by its offset need compression="none".
+    """
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    line = lambda name, col: F.concat(F.lit(f"{name}: "), text(col), F.lit("\r\n"))
+    # The format's field names.
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Refers-To", F.col("refers_to")), line("WARC-Target-URI", F.col("target_uri")),
-        line("WARC-Date", F.col("date")), line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")), line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Payload-Digest", F.col("payload_digest")), F.lit("\r\n"),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", "record_type"), line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Target-URI", "target_uri"),
+        line("WARC-Date", "date"), line("Content-Type", "content_type"), F.concat(F.lit("Content-Length: "), F.octet_length(text("block")).cast("string"), F.lit("\r\n")), line("WARC-Block-Digest", "block_digest"), line("WARC-Payload-Digest", "payload_digest"), F.lit("\r\n"),
     )
-    records.select(F.concat(head, "block").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    records.select(F.concat(head, text("block")).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+
+
+def gunzip(data: bytes) -> bytes:
+    """All gzip members of data; of one that is cut short or broken, what can be read of it."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file, gzipped or not."""
+    """Headers and block of each record of a WARC file, gzipped or not. A record without a length that is a number, and one whose block is cut short, end
+    with the next record or the file; bytes outside records are passed over."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = gunzip(data)
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -141,13 +161,18 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             headers[k.strip()] = v.strip()
-        size = int(headers.get("Content-Length") or 0)
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        length = headers.get("Content-Length", "")
+        if re.fullmatch(r"[0-9]+", length):
+            stop = end + 4 + int(length)
+        else:
+            stop = data.find(b"WARC/1.", end + 4)
+            stop = len(data) if stop < 0 else stop
+        yield headers, data[end + 4 : stop]
+        at = stop
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """RESPONSE rows of the response records in WARC files below path, read by Spark."""
+    """RESPONSE rows of the response records in WARC files below path, read by Spark: each file whole, so of less than 2 GB, zipped or not."""
 
     def run(batches):
         for b in batches:
@@ -156,4 +181,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["record_id", "target_uri", "date", "headers", "http"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RESPONSE)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(lean(run), RESPONSE)
