@@ -13,14 +13,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    A null or empty text is scored like any other, as one without words; rows that repeat are scored each; a null doc_id has no label but a score. An empty
+    table gives an empty one. Columns other than those of documents are left out.
+    """
     return quality.keep_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), 0.7)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and one row of each document; rows with a null doc_id stay.
 
-    Only rows whose id is dropped or comes twice are shuffled, and the few that a fixed-size filter takes for one.
+    Only rows whose id is dropped or comes twice are shuffled, and the few that a fixed-size filter takes for one. Documents without words are in no group
+    and stay; of rows that share an id the first by text, source, lang and n_chars stays. An empty table gives an empty one.
     """
     found = written(minhash.near_duplicates(docs, 5, 80).where("doc_id is not null"), "duplicates")
     rows = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
@@ -32,13 +37,19 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind, and n_chars counted anew.
+
+    A null text stays null (n_chars null), an empty one empty; repeated rows are redacted each; an empty table gives an empty one.
+    """
     found = pii.with_spans(docs.select(*COLUMNS)).withColumn("text", pii.redact(F.col("text"), F.col("spans")))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: up to three times, or not at all."""
+    """Each document as often as the mix takes it: up to three times, or not at all.
+
+    Documents without words are never taken. A null source is a source; rows with a null doc_id are told apart by their texts. An empty table gives an empty one.
+    """
     key = F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("__key")
     docs = docs.select(*COLUMNS, key)
     taken = mixing.mix(docs, keep=("__key",)).where("taken > 0").select("__key", "size", (F.col("taken") / F.col("size")).cast("int").alias("times"))
@@ -52,13 +63,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins of 2048 words; copies of one document lie in different bins."""
+    """Pieces of documents in bins of 2048 words; copies of one document lie in different bins.
+
+    A document without words is a piece of 0 words; longer ones than a bin are cut, whole; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
 STAGES = [("quality", good), ("near_duplicates", unique), ("personal_data", redacted), ("mixing", mixed), ("packing", packed)]
 
-#: No stage but the last two has a fair SQL form; tests/llm/test_pages_vectors_pipeline.py holds run() to a plain version.
+#: No stage but the last two has a fair SQL form; tests/llm/test_plain_versions.py holds run() to a plain version.
 ORACLE_SQL = None
 
 
