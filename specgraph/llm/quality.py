@@ -169,7 +169,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs with a score of threshold or more, all their columns; learns as quality() does, but from every labelled document."""
+    """The rows of docs with a score of threshold or more, all their columns; learns as quality() does, but from every labelled document.
+
+    There is nothing to hold out from: the filter serves the corpus, not a measurement. Null, empty, repeated rows and empty tables as in quality().
+    """
     y = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z")
     model = fit(with_statistics(docs), y)
 
