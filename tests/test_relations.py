@@ -82,7 +82,7 @@ def test_scoped_rebuild_equals_the_full_one_of_its_repositories(spark, specs, ed
     full, deps = full.collect(), deps.collect()
     of = {s[0]: s[3] for s in SPECS}
     assert ("mail", "orders", "event") in {(d.from_repo, d.to_repo, d.type) for d in deps} and ("web", "orders", "api") in {(d.from_repo, d.to_repo, d.type) for d in deps}
-    for repo in ("orders", "b", "mobile"):
+    for repo in ("orders", "b"):
         some, scoped = R.rebuild(specs, edges, contracts, repos=spark.createDataFrame([(repo,)], "repo_id string"))
         assert sorted(some.collect()) == sorted(r for r in full if repo in (of[r.from_spec], of[r.to_spec]))
         assert sorted(map(str, scoped.collect())) == sorted(str(d) for d in deps if repo in (d.from_repo, d.to_repo))
