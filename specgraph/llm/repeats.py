@@ -188,6 +188,20 @@ def _order(batches):
         yield solve(held)
 
 
+#: A piece that occurs more often is busy; so many busy pieces at most are broadcast (some 3 MB).
+BUSY, SMALL = 4096, 100_000
+
+
+def _shared(found: DataFrame, twice: DataFrame) -> DataFrame:
+    """Occurrences with `same` of pieces that occur twice. Those of busy pieces are joined where they lie, so that none of them meets in one task; should
+    there be very many busy pieces, all are dealt by piece like the others."""
+    busy = twice.where(f"n > {BUSY}").select("piece", "same")
+    if not 0 < busy.count() <= SMALL:
+        return found.join(twice.drop("n"), "piece")
+    rest = found.join(F.broadcast(busy.select("piece")), "piece", "left_anti").join(twice.where(f"n <= {BUSY}").drop("n"), "piece")
+    return found.join(F.broadcast(busy), "piece").unionByName(rest)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of [start, end) byte runs) of every row.
 
@@ -199,8 +213,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = _keyed(docs)
     found = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(lean(_anchors), "rid long, p long, s0 long, s1 long, piece long, whole long")
     found = written(found.withColumn("p", F.col("p").cast("int")).withColumn("s0", F.col("s0").cast("int")).withColumn("s1", F.col("s1").cast("int")), "anchors")
-    twice = found.groupBy("piece").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1").select("piece", (F.col("lo") == F.col("hi")).alias("same"))
-    marked = written(found.join(twice, "piece"), "shared")
+    twice = found.groupBy("piece").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1").select("piece", "n", (F.col("lo") == F.col("hi")).alias("same"))
+    marked = written(_shared(found, written(twice, "pieces")), "shared")
     span = lambda df: df.select("rid", F.col("s0").alias("a"), (F.col("s1") + LENGTH).alias("z"))
     mixed = marked.where("not same")
     kinds = mixed.groupBy("piece", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "p", "s0", "s1")).alias("one"))

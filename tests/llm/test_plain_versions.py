@@ -254,6 +254,7 @@ def test_a_hot_core_is_parted(spark, monkeypatch):
     """Very many strings around one passage: each construction holds a few rows, the result is that of counting all strings."""
     monkeypatch.setattr(repeats, "HOT", 16)
     monkeypatch.setattr(repeats, "TOGETHER", 16)
+    monkeypatch.setattr(repeats, "BUSY", 8)
     rng = np.random.default_rng(7)
     core = bytes(rng.integers(97, 123, 380).tolist()).decode()
     side = lambda k: "".join(chr(97 + int(x)) for x in rng.integers(0, 2, k))
