@@ -172,9 +172,9 @@ def java_owner(file: File, found: list) -> None:
 
 # --- JavaScript and TypeScript ----------------------------------------------------------------------------------------------------------------------
 
+# Modules whose imports are HTTP clients, helper functions that name a method, utility types that are built on another type.
 _HTTP_MODULE = re.compile(r"(?i)^(?:axios|ky|umi-request|@?/?request|.*/request|.*/http)$")
 _API_CALL = re.compile(r"^api(Get|Post|Put|Patch|Delete|Request)$")
-_NOT_RECEIVER = ("router", "app", "server", "express", "fastify")
 
 
 def js_http(file: File, found: list) -> None:
@@ -259,6 +259,7 @@ def js_event(file: File, found: list) -> None:
             found.append(audit(file, c.line, c.raw, "payload-type-unresolvable", "payload-type-unresolvable"))
 
 
+# The common names of a language's types, here and below.
 _TS_TYPES = {"string": "string", "number": "number", "boolean": "boolean", "Date": "date", "any": "unknown", "unknown": "unknown"}
 _UTILITY = re.compile(r"^\s*(Omit|Pick|Partial|Required|Readonly|Record)\s*<\s*([\w$]+)")
 
@@ -360,6 +361,7 @@ def sdk_client(file: File, found: list) -> None:
 
 # --- Python -----------------------------------------------------------------------------------------------------------------------------------------
 
+# Names that HTTP clients go by.
 _PY_CLIENTS = ("requests", "httpx", "client", "session", "http_client", "api_client", "async_client")
 
 
@@ -504,6 +506,7 @@ def py_grpc(file: File, found: list) -> None:
 
 # --- Java -------------------------------------------------------------------------------------------------------------------------------------------
 
+# Annotations that map a method to a verb.
 _MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "PatchMapping": "PATCH", "DeleteMapping": "DELETE", "RequestMapping": None}
 
 
@@ -855,6 +858,7 @@ def graphql_client(file: File, found: list) -> None:
             found.append(graphql(file, kind, name, "consumer", line + at - 1, raw, "graphql-client-template", REGEX_ROUTE, "client-document", operation_name=of))
 
 
+# Fixed value: what a configuration key looks like.
 _CONFIG_KEY = re.compile(r"^(?:[A-Z][A-Z0-9_]{2,}|[a-z][A-Za-z0-9_.-]+\.[A-Za-z0-9_.-]+)$")
 
 

@@ -66,7 +66,7 @@ def entities(text: Column) -> Column:
     return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))), lambda x: (F.length(x) > 2) & ~x.isin(*NO_ENTITY))
 
 
-#: How many terms of a question are looked up, and how many rows of each kind are kept.
+# How many terms of a question are looked up, and how many rows of each kind are kept.
 TERMS, CODE, SECTIONS, ENTITIES, DEPENDENCIES, SEMANTIC, FALLBACK = 5, 20, 20, 30, 50, 10, 30
 
 
@@ -120,7 +120,7 @@ def nearest(records: DataFrame, query: Column, limit: int = 10) -> DataFrame:
     return records.withColumn("score", F.greatest(F.lit(0.0), F.lit(1.0) - (F.lit(1.0) - cosine(F.col("embedding"), query)))).orderBy(F.desc("score"), "node_id").limit(limit)
 
 
-#: What each level embeds; documents' files and sections count at 'docs'.
+# What each level embeds; documents' files and sections count at 'docs'.
 LEVELS = {"off": (), "all": ("System", "Repo", "File", "Section", "Code", "Entity"), "repo": ("System", "Repo"), "docs": ("System", "Repo", "File", "Section", "Entity"), "file": ("System", "Repo", "File"), "code": ("Code", "Section", "Entity")}
 
 
