@@ -282,7 +282,7 @@ def test_a_watch_drops_nothing(spark, tmp_path):
 
     q = V.watch(spark.readStream.schema(schema).parquet(src), sync, str(tmp_path / "c"), 300, status)
     try:
-        deadline = time.time() + 60
+        deadline = time.time() + 150
         while len(seen) < 1 and time.time() < deadline:
             time.sleep(0.2)
         put(("a", "late", t - dt.timedelta(days=400)))  # older than anything before it
