@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specgraph.functions.keys import is_active
+from specgraph.functions.keys import event_key, is_active
 
 
 def participants(edges: DataFrame) -> DataFrame:
@@ -76,6 +76,28 @@ def semantic(relations: DataFrame, specs: DataFrame) -> DataFrame:
     return out.groupBy("from_repo", "to_repo", "type", "source_contract", "target_contract").agg(F.min("evidence_id").alias("evidence_id"), F.max("confidence").alias("confidence"))
 
 
+def events(specs: DataFrame) -> DataFrame:
+    """What semantic() makes of matching.event()'s relations, each with its from_spec as evidence, without their pairs: repositories meet once a topic.
+
+    specs: spec_id, repo_id, contract_id, role, topic, payload. The confidence is the best of all pairs: 0.95 where a payload lacks on either side or two
+    are equal, which is a join of the distinct payloads of repositories; else 0.85.
+    """
+    specs = specs.where("spec_id is not null and repo_id is not null").withColumn("topic", event_key(F.col("topic")))
+
+    def side(name: str, roles: tuple[str, ...]) -> DataFrame:
+        of = specs.where(F.col("role").isin(*roles)).groupBy("topic", "repo_id", "contract_id", "payload").agg(F.min("spec_id").alias("least"))
+        return of.select(*[F.col(x).alias(f"{name}_{x}") for x in of.columns])
+
+    p, c = side("p", ("producer", "owner", "shared")), side("c", ("consumer", "shared"))
+    whole = lambda df, n: df.groupBy(f"{n}_topic", f"{n}_repo_id", f"{n}_contract_id").agg(F.min(f"{n}_least").alias(f"{n}_least"), F.bool_or(F.col(f"{n}_payload").isNull()).alias(f"{n}_lacks"))
+    topic, other = F.col("p_topic") == F.col("c_topic"), F.col("p_repo_id") != F.col("c_repo_id")
+    ends = [F.col("c_repo_id").alias("from_repo"), F.col("p_repo_id").alias("to_repo"), F.col("c_contract_id").alias("source_contract"), F.col("p_contract_id").alias("target_contract")]
+    met = whole(p, "p").join(whole(c, "c"), topic & other).select(*ends, F.least("p_least", "c_least").alias("evidence_id"), F.when(F.col("p_lacks") | F.col("c_lacks"), 0.95).otherwise(0.85).alias("confidence"))
+    equal = p.join(c, topic & (F.col("p_payload") == F.col("c_payload")) & other).select(*ends, F.least("p_least", "c_least").alias("evidence_id"), F.lit(0.95).alias("confidence"))
+    out = met.unionByName(equal).groupBy("from_repo", "to_repo", "source_contract", "target_contract").agg(F.min("evidence_id").alias("evidence_id"), F.max("confidence").alias("confidence"))
+    return out.select("from_repo", "to_repo", F.lit("event").alias("type"), "source_contract", "target_contract", "evidence_id", "confidence")
+
+
 def merged(first: DataFrame, second: DataFrame, by: list[str]) -> DataFrame:
     """All of first, and of second what has no equal key there."""
     return first.unionByName(second.join(first.select(*by).distinct(), by, "left_anti"))
