@@ -50,3 +50,65 @@ def test_deps_semantic_makes_no_pairs_of_payloads(spark, tmp_path):
     rows.where("event_id % 50 = 0").write.parquet(f"{tmp_path}/events.parquet")
     got, joins = ran(queries()["deps_semantic"](spark, str(tmp_path)))
     assert {(r.from_repo, r.to_repo, r.confidence) for r in got} == {("u:0", "u:2", 0.85), ("u:2", "u:0", 0.85)} and most(joins) <= 2  # 256 pairs of payloads
+
+
+def specs_of(spark, rows):
+    return spark.createDataFrame(rows, "spec_id string, repo_id string, role string, method string, path string")
+
+
+def test_http_equals_a_comparison_of_all_pairs(spark):
+    dice = random.Random(3)
+    paths = ["/".join([""] + [dice.choice(["a", "B", "7", "{id}", "{x", "a{b}"]) for _ in range(dice.randrange(4))]) or "/" for _ in range(90)]
+    rows = [(f"s{i}", f"r{dice.randrange(4)}", dice.choice(["producer", "consumer", "shared", "owner"]), dice.choice([None, "GET", "POST"]), p) for i, p in enumerate(paths + [None])]
+    parts = lambda p: [s for s in p.lower().split("/") if s]
+    is_open = lambda s: s.startswith("{") and s.endswith("}") and len(s) > 2
+    pairs = {}
+    for c, p in itertools.product(rows, rows):
+        if c[2] in ("consumer", "shared") and p[2] != "consumer" and c[1] != p[1] and c[4] and p[4] and (c[3] is None or p[3] is None or c[3] == p[3]):
+            a, b = parts(c[4]), parts(p[4])
+            of_c, of_p = any(map(is_open, a)), any(map(is_open, b))
+            if c[4].lower() == p[4].lower():
+                kind, rank = ("exact", 0) if c[3] and c[3] == p[3] else ("path-only", 1)
+            elif len(a) == len(b) and (of_c or of_p) and all(x == y or is_open(x) or is_open(y) for x, y in zip(a, b, strict=True)):
+                kind, rank = ("static-to-template" if of_c != of_p else "template-compatible"), 2
+            else:
+                continue
+            pairs.setdefault((c[0], p[1]), []).append((rank, c[0], p[0], kind))
+    want = {r[1:] for of in pairs.values() for r in of if r[0] == min(of)[0]}
+    got = M.http(specs_of(spark, rows)).collect()
+    assert {(r.consumer, r.producer, r.kind) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_http_pairs_no_paths_that_dont_fit(spark):
+    rows = [(f"c{i}", "web", "consumer", None, f"/en/{i}") for i in range(60)] + [(f"p{i}", "api", "producer", None, f"/en/{i + 1000}") for i in range(60)]
+    got, joins = ran(M.http(specs_of(spark, [*rows, ("t", "api", "producer", None, "/en/{id}")])))
+    assert {(r.consumer, r.producer) for r in got} == {(f"c{i}", "t") for i in range(60)} and most(joins) <= 121  # 3,600 pairs of the bucket
+
+
+def busy(spark, kind):
+    """200 consumers and 100 producers of one key, in two repositories."""
+    rows = [(f"s{i}", f"r{i % 2}", "producer" if i % 3 == 0 else "consumer", "T", "m" if i % 5 else "*") for i in range(300)]
+    df = spark.createDataFrame(rows, "spec_id string, repo_id string, role string, name string, method string")
+    return {
+        "event": lambda: M.event(df.select("*", F.col("name").alias("topic"), F.col("method").alias("payload"))),
+        "rpc": lambda: M.rpc(df.select("*", F.col("name").alias("service"), F.lit(None).cast("string").alias("package"))),
+        "exact_key": lambda: M.exact_key(df.withColumn("key", F.col("name"))),
+        "dubbo": lambda: M.dubbo(df.select("*", F.col("name").alias("interface"), F.lit("").alias("group"), F.lit("").alias("version"))),
+    }[kind](), rows
+
+
+@pytest.mark.parametrize("kind", ["event", "rpc", "exact_key", "dubbo"])
+def test_a_busy_key_is_dealt_over_tasks_and_never_sorted(spark, kind):
+    df, rows = busy(spark, kind)
+    fits = {"rpc": lambda p, c: p == c, "dubbo": lambda p, c: p == c or "*" in (p, c)}.get(kind, lambda p, c: True)
+    want = {(c[0], p[0]) for p, c in itertools.product(rows, rows) if p[2] == "producer" and c[2] == "consumer" and p[1] != c[1] and fits(p[4], c[4])}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of some size
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, joins = ran(df)
+        tasks = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pairs = [(r[1], r[0]) for r in got if r[2] == "PUBLISHES_EVENT"] if kind == "event" else [tuple(r[:2]) for r in got]
+    assert set(pairs) == want and len(pairs) == len(want) and {x for x, _ in joins} == {"ShuffledHashJoinExec"} and tasks > 2
