@@ -131,7 +131,8 @@ def dubbo(specs: DataFrame) -> DataFrame:
 def exact_key(specs: DataFrame) -> DataFrame:
     """consumer, producer of equal keys in different repositories."""
     p, c = _sides(specs, ("spec_id", "repo_id", "key"))
-    return p.join(c, p.p_key == c.c_key).where("p_repo_id <> c_repo_id").select(F.col("c_spec_id").alias("consumer"), F.col("p_spec_id").alias("producer"), F.lit(0.95).alias("confidence"))
+    pairs = _meet(p, c, ["p_key"], ["c_key"], F.col("p_repo_id") != F.col("c_repo_id"))
+    return pairs.select(F.col("c_spec_id").alias("consumer"), F.col("p_spec_id").alias("producer"), F.lit(0.95).alias("confidence"))
 
 
 def schema_lookup(refs: DataFrame, schemas: DataFrame) -> DataFrame:
