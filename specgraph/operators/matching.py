@@ -54,26 +54,41 @@ def _open(s: Column) -> Column:
     return s.rlike(r"^\{.+\}$")
 
 
-def _fits(a: Column, b: Column) -> Column:
-    """Whether two paths of equal length agree segment by segment, a template segment with anything."""
-    both = F.zip_with(_segments(a), _segments(b), lambda x, y: (x == y) | _open(x) | _open(y))
-    return (F.size(_segments(a)) == F.size(_segments(b))) & F.forall(both, lambda ok: ok)
+def _mask(path: Column) -> Column:
+    """A mark for each segment: 1 for a template's, 0 for another."""
+    return F.transform(_segments(path), lambda s: F.when(_open(s), 1).otherwise(0))
+
+
+def _keyed(paths: DataFrame, side: str, others: DataFrame) -> DataFrame:
+    """paths (path, mask) once for each mask of as many segments on the other side: what is left of them where neither has a template."""
+    met = paths.join(others.select(F.col("mask").alias("other")).distinct(), F.size("mask") == F.size("other")).where(F.array_contains("mask", 1) | F.array_contains("other", 1))
+    left = F.transform(_segments(F.col("path")), lambda s, i: F.when((F.get("mask", i) == 0) & (F.get("other", i) == 0), s))
+    return met.select(F.col("path").alias(f"{side}_near"), F.col("mask").alias(f"{side}_mask"), F.col("other").alias(f"{side}_other"), left.alias(f"{side}_left"))
+
+
+def _near(p: DataFrame, c: DataFrame) -> DataFrame:
+    """p_near, c_near: different paths of equal length, one of them a template at least, that agree segment by segment, a template segment with anything.
+
+    Two paths agree if they are equal where neither has a template: an equi-join for each pair of masks, of which there are few. No pair is compared.
+    """
+    of = lambda df, side: df.select(F.col(f"{side}_path").alias("path")).distinct().withColumn("mask", _mask(F.col("path")))
+    p, c = of(p, "p"), of(c, "c")
+    keys_p, keys_c = ["p_mask", "p_other", "p_left"], ["c_other", "c_mask", "c_left"]
+    return _meet(_keyed(p, "p", c), _keyed(c, "c", p), keys_p, keys_c, F.col("p_near") != F.col("c_near"), "c_near").select("p_near", "c_near")
 
 
 def http(specs: DataFrame) -> DataFrame:
     """consumer, producer, kind, confidence: per consumer and producing repository the best kind of match only.
 
-    specs: spec_id, repo_id, role, method, path. Equi-joins only: equal paths by path; templates by first segment and length, with '*' for paths that
-    begin with a template. The two branches don't overlap, so busy segments pair only specs of which one is a template.
+    specs: spec_id, repo_id, role, method, path. Equi-joins only: equal paths by path; templates by what is left of a path where neither side has a
+    template. The two branches don't overlap.
     """
-    specs = specs.withColumn("path", F.lower("path")).withColumn("bucket", keys.first_segment(F.col("path"))).withColumn("len", F.size(_segments(F.col("path"))))
-    specs = specs.withColumn("open", F.exists(_segments(F.col("path")), _open))
-    p, c = _sides(specs, ("spec_id", "repo_id", "method", "path", "bucket", "len", "open"))
-    equal = c.join(p, c.c_path == p.p_path)
-    keyed_c = c.withColumn("b", F.explode(F.when(F.col("c_bucket") == "*", F.array(F.lit("**"))).otherwise(F.array("c_bucket", F.lit("*")))))
-    keyed_p = p.withColumn("b", F.explode(F.array("p_bucket", F.lit("**"))))
-    near = keyed_c.join(keyed_p, (keyed_c.b == keyed_p.b) & (F.col("c_len") == F.col("p_len"))).where("(c_open or p_open) and c_path <> p_path").where(_fits(F.col("c_path"), F.col("p_path")))
-    pairs = equal.unionByName(near.select(*equal.columns)).where("c_repo_id <> p_repo_id and (c_method = p_method or c_method is null or p_method is null)")
+    specs = specs.withColumn("path", F.lower("path")).withColumn("open", F.array_contains(_mask(F.col("path")), 1))
+    p, c = _sides(specs, ("spec_id", "repo_id", "method", "path", "open"))
+    fits = (F.col("c_repo_id") != F.col("p_repo_id")) & F.coalesce(F.col("c_method") == F.col("p_method"), F.lit(True))
+    equal = _meet(p, c, ["p_path"], ["c_path"], fits)
+    near = _meet(p, c.join(_near(p, c), F.col("c_path") == F.col("c_near")), ["p_path"], ["p_near"], fits)
+    pairs = equal.unionByName(near.select(*equal.columns))
     same = F.col("c_path") == F.col("p_path")
     # The classes and their confidence. What begins with a template falls into a class before 'wildcard', so that one stays empty.
     kind = (
