@@ -36,7 +36,7 @@ def _sides(specs: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataF
 SHARES = 8
 
 
-def _meet(p: DataFrame, c: DataFrame, keys_p: list[str], keys_c: list[str], others: Column, by: str = "c_spec_id") -> DataFrame:
+def meet(p: DataFrame, c: DataFrame, keys_p: list[str], keys_c: list[str], others: Column, by: str = "c_spec_id") -> DataFrame:
     """p joined with c by equal keys where others holds: a hash join that holds a share's rows of p and streams c, so nothing is sorted, buffered by key or spilled however
     busy a key is, and a busy key is dealt over SHARES tasks. p comes SHARES times, the pairs aren't shuffled."""
     n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as a number, or tasks of little input would be merged, however many pairs they make
@@ -74,7 +74,7 @@ def _near(p: DataFrame, c: DataFrame) -> DataFrame:
     of = lambda df, side: df.select(F.col(f"{side}_path").alias("path")).distinct().withColumn("mask", _mask(F.col("path")))
     p, c = of(p, "p"), of(c, "c")
     keys_p, keys_c = ["p_mask", "p_other", "p_left"], ["c_other", "c_mask", "c_left"]
-    return _meet(_keyed(p, "p", c), _keyed(c, "c", p), keys_p, keys_c, F.col("p_near") != F.col("c_near"), "c_near").select("p_near", "c_near")
+    return meet(_keyed(p, "p", c), _keyed(c, "c", p), keys_p, keys_c, F.col("p_near") != F.col("c_near"), "c_near").select("p_near", "c_near")
 
 
 def http(specs: DataFrame) -> DataFrame:
@@ -86,8 +86,8 @@ def http(specs: DataFrame) -> DataFrame:
     specs = specs.withColumn("path", F.lower("path")).withColumn("open", F.array_contains(_mask(F.col("path")), 1))
     p, c = _sides(specs, ("spec_id", "repo_id", "method", "path", "open"))
     fits = (F.col("c_repo_id") != F.col("p_repo_id")) & F.coalesce(F.col("c_method") == F.col("p_method"), F.lit(True))
-    equal = _meet(p, c, ["p_path"], ["c_path"], fits)
-    near = _meet(p, c.join(_near(p, c), F.col("c_path") == F.col("c_near")), ["p_path"], ["p_near"], fits)
+    equal = meet(p, c, ["p_path"], ["c_path"], fits)
+    near = meet(p, c.join(_near(p, c), F.col("c_path") == F.col("c_near")), ["p_path"], ["p_near"], fits)
     pairs = equal.unionByName(near.select(*equal.columns))
     same = F.col("c_path") == F.col("p_path")
     # The classes and their confidence. What begins with a template falls into a class before 'wildcard', so that one stays empty.
@@ -108,7 +108,7 @@ def event(specs: DataFrame) -> DataFrame:
     pairs as producers times consumers of a topic.
     """
     p, c = _sides(specs.withColumn("topic", keys.event_key(F.col("topic"))), ("spec_id", "repo_id", "topic", "payload"))
-    pairs = _meet(p, c, ["p_topic"], ["c_topic"], F.col("p_repo_id") != F.col("c_repo_id"))
+    pairs = meet(p, c, ["p_topic"], ["c_topic"], F.col("p_repo_id") != F.col("c_repo_id"))
     conf = F.when(F.col("p_payload").isNotNull() & F.col("c_payload").isNotNull() & (F.col("p_payload") != F.col("c_payload")), 0.85).otherwise(0.95)
     edge = lambda a, b, k: F.struct(F.col(a).alias("from_spec"), F.col(b).alias("to_spec"), F.lit(k).alias("kind"), conf.alias("confidence"))
     return pairs.select(F.inline(F.array(edge("p_spec_id", "c_spec_id", "PUBLISHES_EVENT"), edge("c_spec_id", "p_spec_id", "SUBSCRIBES_EVENT"))))
@@ -117,7 +117,7 @@ def event(specs: DataFrame) -> DataFrame:
 def rpc(specs: DataFrame) -> DataFrame:
     """consumer, producer, confidence by service and method, whatever the packages: equal (or both missing) 0.95, one missing 0.9, different 0.8."""
     p, c = _sides(specs, ("spec_id", "repo_id", "package", "service", "method"))
-    pairs = _meet(p, c, ["p_service", "p_method"], ["c_service", "c_method"], F.col("p_repo_id") != F.col("c_repo_id"))
+    pairs = meet(p, c, ["p_service", "p_method"], ["c_service", "c_method"], F.col("p_repo_id") != F.col("c_repo_id"))
     conf = F.when(F.col("p_package").eqNullSafe(F.col("c_package")), 0.95).when(F.col("p_package").isNull() | F.col("c_package").isNull(), 0.9).otherwise(0.8)
     return pairs.select(F.col("c_spec_id").alias("consumer"), F.col("p_spec_id").alias("producer"), conf.alias("confidence"))
 
@@ -133,9 +133,9 @@ def dubbo(specs: DataFrame) -> DataFrame:
     specs = specs.withColumn("interface", F.lower(F.regexp_replace("interface", r"\s+", ""))).withColumn("method", named).withColumn("group", blank(F.col("group"))).withColumn("version", blank(F.col("version")))
     p, c = _sides(specs, ("spec_id", "repo_id", "interface", "method", "group", "version"))
     other = F.col("p_repo_id") != F.col("c_repo_id")
-    exact = _meet(p.where("p_method is not null"), c.where("c_method is not null"), ["p_interface", "p_method"], ["c_interface", "c_method"], other)
-    open_c = _meet(p, c.where("c_method is null"), ["p_interface"], ["c_interface"], other)
-    open_p = _meet(p.where("p_method is null"), c.where("c_method is not null"), ["p_interface"], ["c_interface"], other)
+    exact = meet(p.where("p_method is not null"), c.where("c_method is not null"), ["p_interface", "p_method"], ["c_interface", "c_method"], other)
+    open_c = meet(p, c.where("c_method is null"), ["p_interface"], ["c_interface"], other)
+    open_p = meet(p.where("p_method is null"), c.where("c_method is not null"), ["p_interface"], ["c_interface"], other)
     pairs = exact.unionByName(open_c).unionByName(open_p)
     differ = F.coalesce((F.col("p_group") != F.col("c_group")), F.lit(False)) | F.coalesce((F.col("p_version") != F.col("c_version")), F.lit(False))
     lacks = F.col("p_group").isNull() | F.col("c_group").isNull() | F.col("p_version").isNull() | F.col("c_version").isNull()
@@ -146,7 +146,7 @@ def dubbo(specs: DataFrame) -> DataFrame:
 def exact_key(specs: DataFrame) -> DataFrame:
     """consumer, producer of equal keys in different repositories."""
     p, c = _sides(specs, ("spec_id", "repo_id", "key"))
-    pairs = _meet(p, c, ["p_key"], ["c_key"], F.col("p_repo_id") != F.col("c_repo_id"))
+    pairs = meet(p, c, ["p_key"], ["c_key"], F.col("p_repo_id") != F.col("c_repo_id"))
     return pairs.select(F.col("c_spec_id").alias("consumer"), F.col("p_spec_id").alias("producer"), F.lit(0.95).alias("confidence"))
 
 

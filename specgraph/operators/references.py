@@ -7,10 +7,13 @@ repo_id, file_id, name, qualified_name, kind, start_line, end_line), calls (file
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specgraph.functions.keys import band
 from specgraph.operators.documents import resolved
+from specgraph.operators.matching import meet
+from specgraph.operators.paths import cut
 
 #: What an import may leave out of a file's path, in the order in which it is tried.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".vue", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.vue")
@@ -27,15 +30,26 @@ def caller(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(best, "__call", "left").drop("__call")
 
 
-def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """from_file, to_file, module, raw of relative imports whose file is there: the path itself, or the first that one of SUFFIXES completes."""
-    here = files.select("repo_id", "file_id", "path")
+def import_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """from_file, to_file, module, raw of each relative import whose file is there: the path itself, or the first that one of SUFFIXES completes.
+
+    Each file is listed under all that may be written for it, so an import looks up one key. A module of one leading ./ or ../ and plain parts is put
+    behind its folder, which is worked out once a file; others are resolved part by part.
+    """
+    here = files.select("repo_id", "file_id", "path", *[F.when(at != "", F.concat(at, F.lit("/"))).otherwise(at).alias(n) for n, at in (("in", resolved(F.col("path"), F.lit("."))), ("up", resolved(F.col("path"), F.lit(".."))))])
     wanted = imports.where(F.col("module").startswith(".")).join(here, "file_id")
-    base = resolved(F.col("path"), F.col("module"))
-    tries = F.posexplode(F.array(*[F.concat(base, F.lit(s)) for s in SUFFIXES])).alias("nth", "__goal")
-    tried = wanted.select("repo_id", F.col("file_id").alias("from_file"), "module", "raw", tries)
-    goal = files.select("repo_id", F.col("path").alias("__goal"), F.col("file_id").alias("to_file"))
-    return tried.join(goal, ["repo_id", "__goal"]).groupBy("from_file", "module", "raw").agg(F.min_by("to_file", "nth").alias("to_file")).select("from_file", "to_file", "module", "raw")
+    module = F.col("module")
+    rest = F.when(module.startswith("./"), F.substring(module, 3, 1 << 30)).when(module.startswith("../"), F.substring(module, 4, 1 << 30))
+    odd = rest.contains("//") | rest.contains("/.") | rest.startswith(".") | rest.startswith("/") | rest.endswith("/") | (rest == "") | rest.contains("#") | rest.contains("?")
+    goal = F.when(~odd, F.concat(F.when(module.startswith("./"), F.col("in")).otherwise(F.col("up")), rest)).otherwise(resolved(F.col("path"), module))
+    written = F.array_compact(F.array(*[F.when(F.col("path").endswith(s), F.struct(F.lit(n).alias("nth"), F.expr(f"left(path, length(path) - {len(s)})").alias("goal"))) for n, s in enumerate(SUFFIXES)]))
+    listed = files.select("repo_id", "file_id", F.inline(written)).groupBy("repo_id", "goal").agg(F.min(F.struct("nth", "file_id")).alias("m")).select("repo_id", "goal", F.col("m.file_id").alias("to_file"))
+    return wanted.select("repo_id", F.col("file_id").alias("from_file"), "module", "raw", goal.alias("goal")).join(listed, ["repo_id", "goal"]).select("from_file", "to_file", "module", "raw")
+
+
+def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """import_targets, each (from_file, module, raw) once."""
+    return import_targets(files, imports).groupBy("from_file", "module", "raw").agg(F.min("to_file").alias("to_file")).select("from_file", "to_file", "module", "raw")
 
 
 def short(c) -> Column:

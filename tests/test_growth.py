@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from specgraph.operators import dependencies as D
 from specgraph.operators import matching as M
+from specgraph.operators import references as J
 
 
 def nodes(plan):
@@ -112,3 +113,85 @@ def test_a_busy_key_is_dealt_over_tasks_and_never_sorted(spark, kind):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     pairs = [(r[1], r[0]) for r in got if r[2] == "PUBLISHES_EVENT"] if kind == "event" else [tuple(r[:2]) for r in got]
     assert set(pairs) == want and len(pairs) == len(want) and {x for x, _ in joins} == {"ShuffledHashJoinExec"} and tasks > 2
+
+
+def test_caller_equals_a_look_at_every_symbol(spark):
+    dice = random.Random(7)
+    symbols = [(f"s{i:02}", dice.choice("ab"), a, a + dice.randrange(-1, 40)) for i, a in enumerate(dice.randrange(-3, 60) for _ in range(60))]
+    calls = [(i, dice.choice("abc"), dice.choice([None, *range(-5, 100)])) for i in range(150)]
+    got, joins = ran(J.caller(spark.createDataFrame(calls, "call_id int, file_id string, line int"), spark.createDataFrame(symbols, "code_id string, file_id string, start_line int, end_line int")))
+    want = {i: min(((e - s, code) for code, f, s, e in symbols if f == file and s <= line <= e), default=(0, None))[1] if line is not None else None for i, file, line in calls}
+    assert {r.call_id: r.caller for r in got} == want and len(got) == len(calls)
+
+
+def test_a_call_does_not_meet_the_symbols_of_its_file(spark):
+    symbols = spark.range(400).select(F.col("id").alias("code_id"), F.lit("f").alias("file_id"), F.col("id").alias("start_line"), (F.col("id") + 300).alias("end_line"))
+    calls = spark.range(500).select(F.lit("f").alias("file_id"), F.col("id").alias("line"))
+    got, joins = ran(J.caller(calls, symbols))
+    assert [r.caller for r in sorted(got)] == [max(0, n - 300) for n in range(500)] and most(joins) <= 500 * 9  # 200,000 pairs
+
+
+def test_imports_look_up_one_key(spark):
+    from specgraph.operators.documents import resolved
+
+    dice = random.Random(9)
+    paths = ["a.ts", "lib/a.ts", "lib/a", "lib/b/index.ts", "lib/b.vue", "lib/b/index", "x/y/a.js", "x/.env.ts", "b/index.js", "lib/.ts", "/abs/a.ts", "x//d.ts"]
+    files = spark.createDataFrame([(r, f"{r}{i}", p, "typescript") for r in "rs" for i, p in enumerate(paths)], "repo_id string, file_id string, path string, language string")
+    modules = ["./a", "../a", "./b", "../lib/b", "../lib/a.ts", "./b/index", "../../lib/b", ".", "..", "./", "./.env", "..a", "./a#x", "./a?x=1", ".//a", "./b/../a", "./../a", "../../a", "./y/./a", "b", "./b/index.ts", "../abs/a", "./d"]
+    rows = [(f"{dice.choice('rs')}{dice.randrange(len(paths))}", m, f"import {m}") for m in modules for _ in range(12)]
+    imports = spark.createDataFrame(rows, "file_id string, module string, raw string")
+    base = imports.join(files, "file_id").where("module like '.%'").select("repo_id", "file_id", "module", resolved(F.col("path"), F.col("module")).alias("b")).distinct().collect()
+    known = {(r.repo_id, r.path): r.file_id for r in files.collect()}
+    want = {(r.file_id, r.module): next(known[(r.repo_id, r.b + s)] for s in J.SUFFIXES if (r.repo_id, r.b + s) in known) for r in base if r.b is not None and any((r.repo_id, r.b + s) in known for s in J.SUFFIXES)}
+    got, joins = ran(J.resolve_imports(files, imports))
+    assert {(r.from_file, r.module): r.to_file for r in got} == want and len(got) == len(want) > 60 and most(joins) <= len(rows)  # eleven rows of each import before
+
+
+def symbols_and_calls(spark):
+    dice = random.Random(11)
+    files = [(dice.choice("rs"), f"f{i}", f"f{i}.ts", "typescript") for i in range(8)]
+    repo = {f: r for r, f, _, _ in files}
+    symbols = []
+    for i in range(70):
+        f, name = dice.choice(files)[1], dice.choice("abc")
+        symbols.append((f"s{dice.randrange(1000):03}-{i}", repo[f], f, name, dice.choice([name, f"C.{name}", "a", "C.b"]), "method", i, i))
+    calls = [(s[2], dice.choice("abcd"), None, s[6], f"raw {s[0]}") for s in symbols]
+    imports = [(dice.choice(files)[1], f"./f{dice.randrange(8)}", f"import {i}", i, []) for i in range(14)]
+    return files, symbols, calls, imports
+
+
+def test_resolved_calls_equal_a_look_at_every_symbol(spark):
+    files, symbols, calls, imports = symbols_and_calls(spark)
+    repo = {f: r for r, f, _, _ in files}
+    linked = {(f, m[2:]) for f, m, *_ in imports if repo[f] == repo[m[2:]]}
+    want = {}
+    for (code, *_), (file, callee, _, _, raw) in zip(symbols, calls, strict=True):
+        found = []
+        for to, r, f, name, full, *_ in symbols:
+            if to != code and callee in (name, full.split(".")[-1]):
+                known = name == callee or full.endswith(f".{callee}")
+                score = min(4 * known + 4 * (f == file) + 3 * ((file, f) in linked) + (r == repo[file]), 10)
+                found.append((-score, (file, f) not in linked, f != file, to))
+        if found and min(found)[0] <= -4:
+            want[code] = (min(found)[3], -min(found)[0] / 10)
+    frames = [spark.createDataFrame(rows, of) for rows, of in ((files, "repo_id string, file_id string, path string, language string"), (imports, "file_id string, module string, raw string, line int, bindings array<struct<local:string,imported:string,kind:string>>"), (symbols, "code_id string, repo_id string, file_id string, name string, qualified_name string, kind string, start_line int, end_line int"), (calls, "file_id string, callee string, receiver string, line int, raw string"))]
+    got = J.resolve_calls(*frames).collect()
+    assert {r.from_code: (r.to_code, r.confidence) for r in got} == want and len(got) == len(want) > 40
+
+
+def test_calls_of_a_common_name_meet_few_symbols(spark):
+    symbols = spark.range(300).select(F.col("id").alias("code_id"), F.lit("r").alias("repo_id"), (F.col("id") % 30).alias("file_id"), F.lit("a").alias("name"), F.lit("a").alias("qualified_name"), F.lit("function").alias("kind"), F.col("id").alias("start_line"), F.col("id").alias("end_line"))
+    files = spark.range(30).select(F.lit("r").alias("repo_id"), F.col("id").alias("file_id"), F.concat(F.lit("f"), "id", F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"))
+    calls = symbols.select("file_id", F.lit("a").alias("callee"), F.lit(None).cast("string").alias("receiver"), F.col("start_line").alias("line"), F.concat(F.lit("c"), "code_id").alias("raw"))
+    none = spark.createDataFrame([], "file_id long, module string, raw string, line int, bindings array<struct<local:string,imported:string,kind:string>>")
+    got, joins = ran(J.resolve_calls(files, none, symbols, calls))
+    assert len(got) == 300 and all(r.to_code == r.from_code % 30 + 30 * (r.from_code < 30) for r in got) and most(joins) <= 3000  # 90,000 pairs
+
+
+def test_sections_meet_names_once(spark):
+    sections = spark.createDataFrame([("r", f"s{i}", f"All about Buildings and {'mach' * (i % 2)}") for i in range(40)] + [("q", "t", "building"), ("r", "u", None), ("r", "v", "ab")], "repo_id string, section_id string, text string")
+    rows = [("r", f"c{i}", "Building", "x.Building") for i in range(30)] + [("r", "m", "mach", "Build"), ("r", "n", "ab", None), ("q", "o", "BUILDING", "ild")]
+    names, text = {r[1]: r for r in rows}, {r.section_id: r for r in sections.collect()}
+    want = {(s, k) for s, x in text.items() for k, (repo, _, a, b) in names.items() if repo == x.repo_id and x.text and any(n and len(n) > 2 and n.lower() in x.text.lower() for n in (a, b))}
+    got, joins = ran(J.documenting(sections, spark.createDataFrame(rows, "repo_id string, code_id string, name string, qualified_name string")))
+    assert {(r.section_id, r.code_id) for r in got} == want and len(got) == len(want) and sorted(n for _, n in joins)[-2] <= 200  # 2,400 pairs before the last join
