@@ -111,12 +111,36 @@ def exact_targets(files: DataFrame, imports: DataFrame, symbols: DataFrame, call
     golang = inner.union(outer).join(functions, ["repo_id", "package", "callee"]).select("file_id", "line", "raw", "code_id")
 
     java = files.where("language = 'java'").select("repo_id", "file_id")
-    owner = F.element_at(F.split("qualified_name", r"\."), -2)
+    owner = F.try_element_at(F.split("qualified_name", r"\."), F.lit(-2))
     methods = symbols.join(java.select("file_id"), "file_id", "left_semi").where("kind = 'method'").groupBy("repo_id", owner.alias("receiver"), F.col("name").alias("callee")).agg(F.min("code_id").alias("code_id"), F.count("*").alias("n")).where("n = 1")
     jvm = plain.join(java, "file_id").join(methods, ["repo_id", "receiver", "callee"]).select("file_id", "line", "raw", "code_id")
     return python.union(golang).union(jvm).groupBy("file_id", "line", "raw").agg(F.min("code_id").alias("code_id"))
 
 
+def _candidates(rest: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """call, code_id: of the symbols that a call (call, callee, file_id, repo) may mean by name all that may be its best.
+
+    Symbols of one kind of place (the call's file, an imported one, its repository, anywhere) differ in their score only by how they have the name, so the
+    first of each place and kind is enough, and the second in case the first is the caller itself.
+    """
+    callee = F.explode(F.array_distinct(F.array("name", F.element_at(F.split("qualified_name", r"\."), -1)))).alias("callee")
+    named = symbols.select(callee, "code_id", F.col("repo_id").alias("repo"), F.col("file_id").alias("to_file"), "name", "qualified_name")
+    named = named.withColumn("exact", F.coalesce((F.col("name") == F.col("callee")) | F.col("qualified_name").endswith(F.concat(F.lit("."), F.col("callee"))), F.lit(False)))
+
+    def first(*place: str) -> DataFrame:
+        nth = F.row_number().over(W.partitionBy("callee", "exact", *place).orderBy("code_id"))
+        return named.select("callee", "exact", *place, "code_id").distinct().withColumn("nth", nth).where("nth <= 2").drop("nth", "exact")
+
+    at_file = first("to_file", "repo").drop("repo")
+    calls = rest.select("call", "callee", "file_id", "repo")
+    anywhere = calls.join(first(), "callee")
+    same_repo = calls.join(first("repo"), ["callee", "repo"])
+    same_file = calls.join(at_file.withColumnRenamed("to_file", "file_id"), ["callee", "file_id"])
+    linked = calls.select("callee", "file_id").distinct().join(edges.select(F.col("from_file").alias("file_id"), "to_file").distinct(), "file_id").join(at_file, ["callee", "to_file"]).select("callee", "file_id", "code_id")
+    out = anywhere.select("call", "code_id").unionByName(same_repo.select("call", "code_id")).unionByName(same_file.select("call", "code_id"))
+    return out.unionByName(calls.join(linked, ["callee", "file_id"]).select("call", "code_id"))
+
+
 def resolve_calls(files: DataFrame, imports: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """from_code, to_code, confidence, resolution, raw of calls inside symbols.
 
@@ -124,12 +148,13 @@ def resolve_calls(files: DataFrame, imports: DataFrame, symbols: DataFrame, call
     imported, 0.1 in the same repository, 1 at most; the best stays (then an imported one, then one of the same file, then the first) if it has 0.4.
     """
     edges = resolve_imports(files, imports)
-    inside = caller(calls, symbols).where("caller is not null").withColumn("raw", short("raw")).withColumn("call", F.monotonically_increasing_id())
+    # Written once: numbers of rows that are worked out again may be others.
+    inside = cut(caller(calls, symbols).where("caller is not null").withColumn("raw", short("raw")).withColumn("call", F.monotonically_increasing_id()))
     exact = inside.join(exact_targets(files, imports, symbols, calls), ["file_id", "line", "raw"]).where("code_id <> caller").select("call", F.col("caller").alias("from_code"), F.col("code_id").alias("to_code"), F.lit(0.95).alias("confidence"), F.lit("exact").alias("resolution"), "raw")
-    rest = inside.join(exact.select("call").distinct(), "call", "left_anti").join(files.select("file_id", F.col("repo_id").alias("repo")), "file_id")
+    rest = cut(inside.join(exact.select("call").distinct(), "call", "left_anti").join(files.select("file_id", F.col("repo_id").alias("repo")), "file_id"))
     via = aliases(imports, edges, symbols).withColumnRenamed("local", "callee").withColumn("alias", F.lit(True))
     by_alias = rest.select("call", "file_id", "callee").join(via, ["file_id", "callee"]).select("call", "code_id", "alias")
-    by_name = rest.select("call", "callee").join(_named(symbols).select(F.col("name").alias("callee"), "code_id"), "callee").select("call", "code_id", F.lit(False).alias("alias"))
+    by_name = _candidates(rest, edges, symbols).withColumn("alias", F.lit(False))
     found = by_alias.union(by_name).groupBy("call", "code_id").agg(F.max("alias").alias("alias"))
     target = symbols.select("code_id", F.col("repo_id").alias("to_repo"), F.col("file_id").alias("to_file"), "name", "qualified_name")
     found = found.join(rest.select("call", "caller", "callee", "file_id", "repo", "raw"), "call").where("code_id <> caller").join(target, "code_id")
