@@ -21,13 +21,33 @@ SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".vue", "/index.ts", "/index.tsx",
 RAW = 512
 
 
+def _blocks(start: Column, end: Column) -> Column:
+    """level, block: the fewest blocks of 2^level lines, each beginning at a multiple of its length, that make up the lines from start to end."""
+
+    def of(level: Column) -> Column:
+        right = lambda x: F.call_function("shiftright", x, level)
+        first, behind = -right(-start), right(end + 1)
+        one = lambda odd, x: F.when((first < behind) & (odd.bitwiseAND(1) == 1), F.struct(level.alias("level"), x.alias("block")))
+        return F.array_compact(F.array(one(first, first), one(behind, behind - 1)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(end - start + 1)) - 1), of))
+
+
 def caller(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """calls with caller: the symbol of the file whose lines enclose the call's, the one of fewest lines, then the first."""
-    s = symbols.select("file_id", "code_id", "start_line", "end_line")
-    calls = calls.withColumn("__call", F.monotonically_increasing_id())
-    j = calls.select("__call", "file_id", "line").join(s, "file_id").where("line between start_line and end_line")
-    best = j.groupBy("__call").agg(F.min(F.struct(F.col("end_line") - F.col("start_line"), "code_id")).alias("m")).select("__call", F.col("m.code_id").alias("caller"))
-    return calls.join(best, "__call", "left").drop("__call")
+    """calls with caller: the symbol of the file whose lines enclose the call's, the one of fewest lines, then the first.
+
+    Symbols are cut into blocks of lines, at most two of each length, and a block keeps its best symbol; a line looks up the blocks that hold it, one of
+    each length in its file. So no call meets a file's symbols.
+    """
+    start, end = F.col("start_line").cast("long"), F.col("end_line").cast("long")
+    spans = symbols.where("start_line <= end_line").groupBy("file_id", start.alias("s"), end.alias("e")).agg(F.min("code_id").alias("code_id"))
+    blocks = spans.select("file_id", F.inline(_blocks(F.col("s"), F.col("e"))), F.struct((F.col("e") - F.col("s")).alias("lines"), "code_id").alias("m"))
+    blocks = blocks.groupBy("file_id", "level", "block").agg(F.min("m").alias("m"))
+    levels = blocks.select("file_id", "level").distinct()
+    lines = calls.select("file_id", F.col("line").cast("long").alias("line")).distinct().join(levels, "file_id")
+    lines = lines.withColumn("block", F.call_function("shiftright", F.col("line"), F.col("level")))
+    best = lines.join(blocks, ["file_id", "level", "block"]).groupBy("file_id", "line").agg(F.min("m").alias("m")).select("file_id", F.col("line").alias("__line"), F.col("m.code_id").alias("caller"))
+    return calls.withColumn("__line", F.col("line").cast("long")).join(best, ["file_id", "__line"], "left").select(*calls.columns, "caller")
 
 
 def import_targets(files: DataFrame, imports: DataFrame) -> DataFrame:
