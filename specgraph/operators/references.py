@@ -193,14 +193,18 @@ def documenting(sections: DataFrame, symbols: DataFrame) -> DataFrame:
     """section_id, code_id, confidence: sections whose text holds a symbol's name or qualified name, of three characters or more, whatever the case, in the
     same repository, even inside a longer word.
 
-    Names meet the words that a text's substrings may start in: a name's first three characters are an equi-join key, the text decides.
+    Texts meet sets of names, not symbols: a name's first three characters are an equi-join key, the text decides, and a set's symbols follow at the end,
+    in pairs that come once each. Ids belong to one repository.
     """
-    names = symbols.select("repo_id", "code_id", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("qualified_name")))).alias("name")).where("length(name) > 2").withColumn("gram", F.substring("name", 1, 3))
+    name = F.explode(F.array("name", "qualified_name")).alias("name")
+    owned = symbols.select("repo_id", "code_id", name).where("length(name) > 2").groupBy("repo_id", "code_id").agg(F.array_sort(F.collect_set(F.lower("name"))).alias("names"))
+    names = owned.select("repo_id", "names").distinct().select("repo_id", "names", F.explode("names").alias("name")).withColumn("gram", F.substring("name", 1, 3))
     low = F.lower("text")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3)))
-    texts = sections.where("length(text) > 2").select("repo_id", "section_id", low.alias("low"), F.explode(grams).alias("gram"))
-    hit = texts.join(names, ["repo_id", "gram"]).where(F.contains("low", F.col("name")))
-    return hit.select("section_id", "code_id").distinct().withColumn("confidence", F.lit(0.7))
+    n = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # texts of few files make many rows
+    texts = sections.where("length(text) > 2").repartition(n, "section_id").select("repo_id", "section_id", low.alias("low"), F.explode(grams).alias("gram"))
+    hit = texts.join(names, ["repo_id", "gram"]).where(F.contains("low", F.col("name"))).select(F.col("repo_id").alias("of"), "section_id", F.col("names").alias("told")).distinct()
+    return meet(owned, hit, ["repo_id", "names"], ["of", "told"], F.lit(True), "section_id").select("section_id", "code_id", F.lit(0.7).alias("confidence"))
 
 
 # Endings that a business entity's name is freed of, and what a role does by kind of contract.
