@@ -38,11 +38,11 @@ def prefixes(key: Column) -> Column:
 def missing_mapping(consumers: DataFrame, producers: DataFrame) -> DataFrame:
     """Consumers (repo_id, key) whose key nobody produces, though someone produces a key below it: with the number of such keys and repositories.
 
-    Producers' prefixes are equi-joined, so no pair of keys is compared.
+    Producers' prefixes are counted before they are equi-joined, so no pair of keys is compared or made.
     """
     open_ = consumers.select("repo_id", "key").distinct().join(producers.select("key").distinct(), "key", "left_anti")
     below = producers.select(F.col("repo_id").alias("p"), F.col("key").alias("sub")).distinct().where(F.col("sub").contains("/")).select("p", "sub", F.explode(prefixes(F.col("sub"))).alias("key"))
-    return open_.join(below, "key").groupBy("repo_id", "key").agg(F.count("*").alias("n"), F.min("sub").alias("example"))
+    return open_.join(below.groupBy("key").agg(F.count("*").alias("n"), F.min("sub").alias("example")), "key").select("repo_id", "key", "n", "example")
 
 
 def case_variants(keys: DataFrame) -> DataFrame:
