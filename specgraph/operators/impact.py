@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specgraph.operators import matching as M
@@ -93,27 +94,45 @@ def roots(matched: DataFrame, relations: DataFrame) -> DataFrame:
     return ends.unionByName(ids.join(ends.select(F.lit(1).alias("__one")).limit(1), F.lit(True), "left_anti"))
 
 
+def _others(front: DataFrame, here: DataFrame, there: DataFrame) -> DataFrame:
+    """spec_id of what shares a home with a spec of front other than itself: here and there are callers and served or the reverse. A home's least and
+    greatest of front tell all that this needs, so no pair is made."""
+    ends = here.join(front.select("spec_id"), "spec_id").groupBy("home").agg(F.min("spec_id").alias("__a"), F.max("spec_id").alias("__b"))
+    return there.join(ends, "home").where("spec_id <> __a or spec_id <> __b").select("spec_id")
+
+
 def trace(relations: DataFrame, specs: DataFrame, starts: DataFrame, max_hops: int = 3, direction: str = "both") -> tuple[DataFrame, DataFrame, bool]:
     """nodes (spec_id, hop, role), edges (from_spec, to_spec, kind, inferred, confidence, hop, direction), and whether a last node has further neighbours.
 
     Breadth first from starts (spec_id), outward and inward each by itself, over relations and inferred internal calls. A node reached both ways has the
-    hop and role ('downstream', 'upstream', 'target') of the outward walk; an edge met twice is that walk's.
+    hop and role ('downstream', 'upstream', 'target') of the outward walk; an edge met twice is that walk's. Nodes are found without the pairs of internal
+    calls; edges, which have them, are worked out when they are read.
     """
-    known = relations.select("from_spec", "to_spec", "kind", F.lit(False).alias("inferred"), "confidence")
-    inner = M.internal_calls(relations, specs).select("from_spec", "to_spec", F.lit("INTERNAL_CALL").alias("kind"), F.lit(True).alias("inferred"), "confidence")
-    every = cut(known.unionByName(inner))
+    known = cut(relations.select("from_spec", "to_spec", "kind", F.lit(False).alias("inferred"), "confidence"))
+    calling, serving = cut(M.callers(relations, specs)), cut(M.served(specs))
     nodes = starts.select("spec_id").distinct().select("spec_id", F.lit(0).alias("hop"), F.lit("target").alias("role"))
     edges, more = None, False
     for way in ("outgoing", "incoming"):
         if direction not in (way, "both"):
             continue
         here, there = ("from_spec", "to_spec") if way == "outgoing" else ("to_spec", "from_spec")
+        begin, end = (serving, calling) if way == "outgoing" else (calling, serving)
+
+        def beside(front: DataFrame) -> DataFrame:
+            along = known.join(front.select(F.col("spec_id").alias(here)), here, "left_semi").select(F.col(there).alias("spec_id"))  # noqa: B023
+            return along.unionByName(_others(front, begin, end))  # noqa: B023
+
+        def met(front: DataFrame) -> DataFrame:
+            along = known.join(front.select(F.col("spec_id").alias(here)), here, "left_semi")  # noqa: B023
+            some = begin.join(front.select("spec_id"), "spec_id", "left_semi")  # noqa: B023
+            inner = M.inner_pairs(end, some) if way == "outgoing" else M.inner_pairs(some, end)  # noqa: B023
+            return along.unionByName(inner.select("from_spec", "to_spec", F.lit("INTERNAL_CALL").alias("kind"), F.lit(True).alias("inferred"), "confidence"))
+
         front = cut(starts.select("spec_id").distinct())
         seen, walked = [front.withColumn("hop", F.lit(0))], []
         for hop in range(1, max_hops + 1):
-            met = cut(every.join(front.withColumnRenamed("spec_id", here), here, "left_semi").withColumn("hop", F.lit(hop)).withColumn("direction", F.lit(way)))
-            walked.append(met)
-            new = met.select(F.col(there).alias("spec_id")).distinct()
+            walked.append(met(front).withColumn("hop", F.lit(hop)).withColumn("direction", F.lit(way)))
+            new = beside(front).distinct()
             for old in seen:
                 new = new.join(old.select("spec_id"), "spec_id", "left_anti")
             front = cut(new)
@@ -121,7 +140,7 @@ def trace(relations: DataFrame, specs: DataFrame, starts: DataFrame, max_hops: i
                 break
             seen.append(front.withColumn("hop", F.lit(hop)))
             if hop == max_hops:
-                more = more or not every.join(front.withColumnRenamed("spec_id", here), here, "left_semi").isEmpty()
+                more = more or not beside(front).isEmpty()
         for part in seen[1:]:
             fresh = part.select("spec_id", "hop", F.lit("downstream" if way == "outgoing" else "upstream").alias("role"))
             nodes = nodes.unionByName(fresh)
@@ -134,34 +153,43 @@ def trace(relations: DataFrame, specs: DataFrame, starts: DataFrame, max_hops: i
     return nodes, edges, more
 
 
-def _steps(relations: DataFrame, specs: DataFrame, downstream: bool) -> DataFrame:
-    """spec_id, next, kind, via_from, via_to, inferred, confidence: how an impact moves by one hop. Against forward relations, along turned ones; from a
-    consumer to what serves its action in the same file; with downstream also from there to what the consumer calls."""
-    flow = relations.where(F.col("kind").isin(_FLOW))
-    back = F.col("kind").isin(TURNED)
-    direct = flow.select(F.when(back, F.col("from_spec")).otherwise(F.col("to_spec")).alias("spec_id"), F.when(back, F.col("to_spec")).otherwise(F.col("from_spec")).alias("next"), "kind", F.col("from_spec").alias("via_from"), F.col("to_spec").alias("via_to"), F.lit(False).alias("inferred"), "confidence")
-    inner = M.internal_calls(relations, specs)
-    lift = inner.select(F.col("to_spec").alias("spec_id"), F.col("from_spec").alias("next"), F.lit("INTERNAL_CALL").alias("kind"), "via_from", "via_to", F.lit(True).alias("inferred"), "confidence")
-    out = direct.unionByName(lift)
-    if downstream:
-        calls = relations.where("kind in ('CALLS_ENDPOINT', 'SUBSCRIBES_EVENT')").select(F.col("from_spec").alias("via_from"), F.col("to_spec").alias("via_to"), F.col("confidence").alias("c"))
-        down = inner.select(F.col("from_spec").alias("spec_id"), "via_from").join(calls, "via_from")
-        out = out.unionByName(down.select("spec_id", F.col("via_to").alias("next"), F.lit("INTERNAL_CALL").alias("kind"), "via_from", "via_to", F.lit(True).alias("inferred"), F.least("c", F.lit(0.75)).alias("confidence")))
-    return out
+def _two(df: DataFrame, value: str) -> DataFrame:
+    """home and value, the two least of each home: one is another than any given spec's."""
+    return df.withColumn("__n", F.row_number().over(W.partitionBy("home").orderBy(value))).where("__n <= 2").select("home", value)
 
 
 def propagate(relations: DataFrame, specs: DataFrame, starts: DataFrame, max_hops: int = 3, downstream: bool = True) -> tuple[DataFrame, bool]:
     """spec_id, hop, via (spec_id), kind, inferred, via_from, via_to, confidence of everything that a change of starts (spec_id) reaches; starts at hop 0.
 
-    Each node comes once, at its first hop, by one step: a materialised one before an inferred one, then the most confident. Also whether more lies behind.
+    An impact moves against forward relations and along turned ones; from a consumer to what serves its action in the same file; with downstream also from
+    there to what the consumer calls. Each node comes once, at its first hop, by one step: a materialised one before an inferred one, then the most
+    confident. Also whether more lies behind. A home's two best specs of the front stand for all of them, so internal calls aren't paired.
     """
-    steps = cut(_steps(relations, specs, downstream))
+    flow = relations.where(F.col("kind").isin(_FLOW))
+    back = F.col("kind").isin(TURNED)
+    direct = cut(flow.select(F.when(back, F.col("from_spec")).otherwise(F.col("to_spec")).alias("spec_id"), F.when(back, F.col("to_spec")).otherwise(F.col("from_spec")).alias("next"), "kind", F.col("from_spec").alias("via_from"), F.col("to_spec").alias("via_to"), "confidence"))
+    calling, serving = cut(M.callers(relations, specs)), cut(M.served(specs))
+    calls = cut(relations.where("kind in ('CALLS_ENDPOINT', 'SUBSCRIBES_EVENT')").select(F.col("from_spec").alias("via_from"), F.col("to_spec").alias("via_to"), F.least("confidence", F.lit(0.75)).alias("confidence")))
+
+    def step(inferred: bool) -> Column:
+        return F.struct(F.lit(inferred).alias("inferred"), (-F.col("confidence")).alias("c"), "kind", F.col("spec_id").alias("via"), "via_from", "via_to", "confidence").alias("s")
+
+    def beside(front: DataFrame) -> DataFrame:
+        at, inner = front.select("spec_id"), F.lit("INTERNAL_CALL").alias("kind")
+        out = direct.join(at, "spec_id").select("next", step(False))
+        lift = calling.join(at, "spec_id").select("home", "spec_id", inner, F.col("spec_id").alias("via_from"), "via_to", "confidence").select("home", step(True))
+        out = out.unionByName(serving.select(F.col("spec_id").alias("next"), "home").join(_two(lift, "s"), "home").where("next <> s.via").select("next", "s"))
+        if downstream:
+            least = _two(serving.join(at, "spec_id").select("home", "spec_id"), "spec_id")
+            down = calling.select(F.col("spec_id").alias("via_from"), "home").join(least, "home").where("via_from <> spec_id").groupBy("via_from").agg(F.min("spec_id").alias("spec_id"))
+            out = out.unionByName(down.join(calls, "via_from").withColumn("kind", inner).select(F.col("via_to").alias("next"), step(True)))
+        return out
+
     none = {"via": "string", "kind": "string", "inferred": "boolean", "via_from": "string", "via_to": "string", "confidence": "double"}
     front = cut(starts.select("spec_id").distinct().select("spec_id", F.lit(0).alias("hop"), *[F.lit(None).cast(t).alias(n) for n, t in none.items()]))
     seen, more = [front], False
     for hop in range(1, max_hops + 1):
-        step = F.struct(F.col("inferred"), (-F.col("confidence")).alias("c"), "kind", F.col("spec_id").alias("via"), "via_from", "via_to", "confidence")
-        new = steps.join(front.select("spec_id"), "spec_id").groupBy("next").agg(F.min(step).alias("s")).select(F.col("next").alias("spec_id"), F.lit(hop).alias("hop"), "s.via", "s.kind", "s.inferred", "s.via_from", "s.via_to", "s.confidence")
+        new = beside(front).groupBy("next").agg(F.min("s").alias("s")).select(F.col("next").alias("spec_id"), F.lit(hop).alias("hop"), "s.via", "s.kind", "s.inferred", "s.via_from", "s.via_to", "s.confidence")
         for old in seen:
             new = new.join(old.select("spec_id"), "spec_id", "left_anti")
         front = cut(new)
@@ -169,7 +197,7 @@ def propagate(relations: DataFrame, specs: DataFrame, starts: DataFrame, max_hop
             break
         seen.append(front)
     else:
-        rest = steps.join(front.select("spec_id"), "spec_id").select(F.col("next").alias("spec_id"))
+        rest = beside(front).select(F.col("next").alias("spec_id"))
         for old in seen:
             rest = rest.join(old.select("spec_id"), "spec_id", "left_anti")
         more = not rest.isEmpty()
