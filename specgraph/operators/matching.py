@@ -192,14 +192,39 @@ def action(kind: Column, key: Column, path: Column, topic: Column, event_name: C
 ENTRIES = ("http-endpoint", "event", "graphql-operation")
 
 
+def _homes(specs: DataFrame) -> DataFrame:
+    """spec_id, home (repository, file, action), entry, and for specs of several homes all of them and those where they are entries."""
+    home = F.struct("repo_id", "file_id", "action")
+    of = specs.where("repo_id is not null and file_id is not null and action is not null").groupBy("spec_id")
+    of = of.agg(F.collect_set(home).alias("all"), F.collect_set(F.when(F.col("spec_kind").isin(*ENTRIES), home)).alias("entries"))
+    many = lambda c: F.when(F.size(c) > 1, F.col(c))
+    return of.select("spec_id", F.explode("all").alias("home"), many("all").alias("all"), "entries").withColumn("entry", F.array_contains("entries", F.col("home"))).withColumn("entries", many("entries"))
+
+
+def callers(relations: DataFrame, specs: DataFrame) -> DataFrame:
+    """spec_id, home, via_to, confidence of what calls through forward relations, the most confident of each; all where there are several homes."""
+    used = relations.where("kind in ('CALLS_ENDPOINT', 'SUBSCRIBES_EVENT')").groupBy(F.col("from_spec").alias("spec_id")).agg(F.max(F.struct("confidence", "to_spec")).alias("via"))
+    return used.join(_homes(specs), "spec_id").select("spec_id", "home", F.col("via.to_spec").alias("via_to"), F.least("via.confidence", F.lit(0.75)).alias("confidence"), "all")
+
+
+def served(specs: DataFrame) -> DataFrame:
+    """spec_id, home of what an outside caller reaches; entries where there are several homes."""
+    return _homes(specs).where("entry").select("spec_id", "home", "entries")
+
+
+def inner_pairs(calling: DataFrame, serving: DataFrame) -> DataFrame:
+    """from_spec, to_spec, via_from, via_to, confidence of callers and served of one home, each pair once: where they share several homes at the first."""
+    p = serving.select(F.col("spec_id").alias("p_spec_id"), F.col("home").alias("p_home"), "entries")
+    c = calling.select(F.col("spec_id").alias("c_spec_id"), F.col("home").alias("c_home"), "via_to", "confidence", "all")
+    once = F.coalesce(F.col("c_home") == F.array_min(F.array_intersect("all", "entries")), F.lit(True))
+    pairs = meet(p, c, ["p_home"], ["c_home"], (F.col("p_spec_id") != F.col("c_spec_id")) & once)
+    return pairs.select(F.col("p_spec_id").alias("from_spec"), F.col("c_spec_id").alias("to_spec"), F.col("c_spec_id").alias("via_from"), "via_to", "confidence")
+
+
 def internal_calls(relations: DataFrame, specs: DataFrame) -> DataFrame:
     """from_spec, to_spec, via_from, via_to, confidence: within its file, a spec that serves an action calls the consumer of the same action.
 
     relations: from_spec, to_spec, kind, confidence, of which forward consumer-to-producer ones count; specs: spec_id, repo_id, file_id, spec_kind, action.
-    Of several relations of one consumer the most confident counts.
+    Of several relations of one consumer the most confident counts. There are as many pairs as callers times served of a home; walks go by homes instead.
     """
-    used = relations.where("kind in ('CALLS_ENDPOINT', 'SUBSCRIBES_EVENT')").groupBy("from_spec").agg(F.max(F.struct("confidence", "to_spec")).alias("via"))
-    mine = used.join(specs.where("file_id is not null and action is not null"), F.col("from_spec") == F.col("spec_id")).select("from_spec", "via", "repo_id", "file_id", "action")
-    near = specs.where(F.col("spec_kind").isin(*ENTRIES)).select(F.col("spec_id").alias("entry"), "repo_id", "file_id", "action")
-    j = mine.join(near, ["repo_id", "file_id", "action"]).where("entry <> from_spec")
-    return j.select(F.col("entry").alias("from_spec"), F.col("from_spec").alias("to_spec"), F.col("from_spec").alias("via_from"), F.col("via.to_spec").alias("via_to"), F.least("via.confidence", F.lit(0.75)).alias("confidence")).distinct()
+    return inner_pairs(callers(relations, specs), served(specs))

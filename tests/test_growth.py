@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from specgraph.operators import dependencies as D
+from specgraph.operators import impact as I
 from specgraph.operators import matching as M
+from specgraph.operators import quality as Q
 from specgraph.operators import references as J
 
 
@@ -195,3 +197,105 @@ def test_sections_meet_names_once(spark):
     want = {(s, k) for s, x in text.items() for k, (repo, _, a, b) in names.items() if repo == x.repo_id and x.text and any(n and len(n) > 2 and n.lower() in x.text.lower() for n in (a, b))}
     got, joins = ran(J.documenting(sections, spark.createDataFrame(rows, "repo_id string, code_id string, name string, qualified_name string")))
     assert {(r.section_id, r.code_id) for r in got} == want and len(got) == len(want) and sorted(n for _, n in joins)[-2] <= 200  # 2,400 pairs before the last join
+
+
+def graph(spark, n=40):
+    """Specs of which some have two homes, and relations; with the inner calls as (entry, consumer) and their consumers' best relation."""
+    dice = random.Random(13)
+    specs = [(i, dice.choice("rs"), dice.choice(["f", "g", None]), dice.choice(["http-endpoint", "event", "grpc-method"]), dice.choice(["x", "y", None])) for i in range(n)]
+    specs += [(i, dice.choice("rs"), "f", dice.choice(["http-endpoint", "grpc-method"]), "x") for i in range(0, n, 4)]
+    relations = sorted({(dice.randrange(n), dice.randrange(n), dice.choice(["CALLS_ENDPOINT", "PUBLISHES_EVENT", "USES_SCHEMA", "SUBSCRIBES_EVENT", "IMPLEMENTS"]), dice.choice([0.6, 0.7, 0.9])) for _ in range(2 * n)})
+    used = {}
+    for a, b, kind, sure in relations:
+        if kind in ("CALLS_ENDPOINT", "SUBSCRIBES_EVENT"):
+            used[a] = max(used.get(a, (0.0, 0)), (sure, b))
+    inner = {(e[0], m[0]) for e in specs for m in specs if m[0] in used and e[0] != m[0] and e[3] != "grpc-method" and e[2] and e[4] and (e[1], e[2], e[4]) == (m[1], m[2], m[4])}
+    frames = spark.createDataFrame(relations, "from_spec int, to_spec int, kind string, confidence double"), spark.createDataFrame(specs, "spec_id int, repo_id string, file_id string, spec_kind string, action string")
+    return *frames, relations, used, inner
+
+
+def test_inner_calls_come_once(spark):
+    relations, specs, _, used, inner = graph(spark)
+    got = M.internal_calls(relations, specs).collect()
+    assert {(r.from_spec, r.to_spec) for r in got} == inner and len(got) == len(inner) > 20
+    assert all((r.via_from, r.via_to, r.confidence) == (r.to_spec, used[r.to_spec][1], min(used[r.to_spec][0], 0.75)) for r in got)
+
+
+def test_impact_equals_a_walk_over_all_pairs(spark):
+    relations, specs, known, used, inner = graph(spark)
+    steps = []
+    for a, b, kind, sure in known:
+        if kind != "IMPLEMENTS":
+            steps.append(((b, a) if kind != "PUBLISHES_EVENT" else (a, b)) + ((False, -sure, kind), (a, b, sure)))
+    for e, m in inner:
+        sure = min(used[m][0], 0.75)
+        steps.append((m, e, (True, -sure, "INTERNAL_CALL"), (m, used[m][1], sure)))
+        steps += [(e, b, (True, -min(s, 0.75), "INTERNAL_CALL"), (m, b, min(s, 0.75))) for a, b, kind, s in known if a == m and kind in ("CALLS_ENDPOINT", "SUBSCRIBES_EVENT")]
+    want, front = {3: (0, None), 5: (0, None)}, [3, 5]
+    for hop in (1, 2):
+        met = {}
+        for x, y, first, then in steps:
+            if x in front and y not in want:
+                met[y] = min(met.get(y, (first, x, then)), (first, x, then))
+        want |= {y: (hop, of) for y, of in met.items()}
+        front = list(met)
+    starts = spark.createDataFrame([(3,), (5,)], "spec_id int")
+    got, more = I.propagate(relations, specs, starts, 2)
+    assert {r.spec_id: (r.hop, r.hop and ((r.inferred, -r.confidence, r.kind), int(r.via), (r.via_from, r.via_to, r.confidence)) or None) for r in got.withColumn("via_from", F.col("via_from").cast("int")).withColumn("via_to", F.col("via_to").cast("int")).collect()} == want and len(want) > 12
+    assert more == any(x in front and y not in want for x, y, *_ in steps)
+
+
+def test_trace_equals_a_walk_over_all_pairs(spark):
+    relations, specs, known, _, inner = graph(spark)
+    every = {(a, b, kind, False) for a, b, kind, _ in known} | {(e, m, "INTERNAL_CALL", True) for e, m in inner}
+    nodes, edges = {3: (0, "target")}, {}
+    more = False
+    for i, role in ((0, "downstream"), (1, "upstream")):
+        seen, front = {3}, {3}
+        for hop in (1, 2):
+            for x in every:
+                if x[i] in front:
+                    edges.setdefault(x, (hop, ("outgoing", "incoming")[i]))
+            front = {x[1 - i] for x in every if x[i] in front} - seen
+            seen |= front
+            for y in front:
+                nodes.setdefault(y, (hop, role))
+        more |= any(x[i] in front for x in every)
+    got, walked, further = I.trace(relations, specs, spark.createDataFrame([(3,)], "spec_id int"), 2)
+    assert {r.spec_id: (r.hop, r.role) for r in got.collect()} == nodes and further == more and len(nodes) > 10
+    assert {(r.from_spec, r.to_spec, r.kind, r.inferred): (r.hop, r.direction) for r in walked.collect()} == edges
+
+
+def test_walks_write_no_pairs_of_internal_calls(spark, monkeypatch):
+    n = 90
+    specs = spark.range(n).select(F.col("id").alias("spec_id"), F.lit("r").alias("repo_id"), F.lit("f").alias("file_id"), F.lit("event").alias("spec_kind"), F.lit("x").alias("action"))
+    relations = spark.range(n).select(F.col("id").alias("from_spec"), F.lit(0).cast("long").alias("to_spec"), F.lit("CALLS_ENDPOINT").alias("kind"), F.lit(0.9).alias("confidence"))
+    written, cut = [], I.cut
+    monkeypatch.setattr(I, "cut", lambda df: (lambda out: written.append(out.count()) or out)(cut(df)))
+    starts = spark.createDataFrame([(1,)], "spec_id long")
+    assert I.propagate(relations, specs, starts, 2)[0].count() == n and I.trace(relations, specs, starts, 2)[0].count() == n
+    assert max(written) <= n  # 8,010 pairs before
+
+
+def test_missing_mapping_counts_before_it_joins(spark):
+    consumers = spark.createDataFrame([(f"c{i}", "/a") for i in range(30)], "repo_id string, key string")
+    producers = spark.createDataFrame([(f"p{i % 3}", f"/a/{i}") for i in range(50)], "repo_id string, key string")
+    got, joins = ran(Q.missing_mapping(consumers, producers))
+    assert {tuple(r) for r in got} == {(f"c{i}", "/a", 50, "/a/0") for i in range(30)} and most(joins) <= 30  # 1,500 before
+
+
+def test_evidence_of_several_contracts_keeps_the_last(spark):
+    dice = random.Random(17)
+    contracts = [(f"c{i}", kind, key) for i, (kind, key) in enumerate([("api", "/a"), ("api", "GET:/a"), ("api", "POST:/a"), ("event", "e"), ("package", "p"), ("schema", "s"), ("api", "/b")])]
+    edges = [(dice.choice(contracts)[0], dice.choice("rst"), dice.choice(["consumer", "producer", "shared", "owner"]), f"e{dice.randrange(12)}", dice.choice([D.IMPORT_RULE, "r"]), dice.choice([0.5, 0.7, 0.9]), dice.choice([None, True, True, False])) for _ in range(90)]
+    kinds = {k: (kind, key.split(":")[-1], ":" in key) for k, kind, key in contracts}
+    live = [x for x in edges if x[6] is not False]
+    want = {}
+    for u, m in itertools.product([x for x in live if x[2] in ("consumer", "shared")], [x for x in live if x[2] != "consumer"]):
+        (kind, bare, verb), (k2, b2, v2) = kinds[u[0]], kinds[m[0]]
+        if u[1] != m[1] and (u[0] == m[0] or kind == k2 == "api" and bare == b2 and verb != v2):
+            of = kind if kind in ("api", "event") else ("import" if u[4] == D.IMPORT_RULE else "package") if kind == "package" else "shared-contract"
+            at, row = (u[1], m[1], of, u[3]), (u[0], m[0], u[5] if u[0] == m[0] else min(u[5], 0.6))
+            want[at] = max(want.get(at, row), row)
+    got = D.by_evidence(spark.createDataFrame(edges, "contract_id string, repo_id string, role string, evidence_id string, rule string, confidence double, active boolean"), spark.createDataFrame(contracts, "contract_id string, kind string, key string")).collect()
+    assert {(r.from_repo, r.to_repo, r.type, r.evidence_id): (r.source_contract, r.target_contract, r.confidence) for r in got} == want and len(got) == len(want) > 25
