@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from specgraph.functions.keys import event_key, is_active
 
 
+#: Fixed value: how many bytes of its source tables a task takes, as they lie in their files.
+PIECE = 4 << 20
+
+
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    """df dealt by a key over as many tasks as its sources' size asks for, so what a task holds doesn't grow with them; what groups by the key and more
+    then does so where the rows are, and not in the tasks that read them too."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()) if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation")
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE)), by)
+
+
 def participants(edges: DataFrame) -> DataFrame:
     """contract_id, repo_id, role with the least evidence and the best confidence: one row each, before anything joins on the contract."""
-    return edges.where(is_active(F.col("active"))).groupBy("contract_id", "repo_id", "role").agg(F.min("evidence_id").alias("evidence_id"), F.max("confidence").alias("confidence"))
+    return _dealt(edges.where(is_active(F.col("active"))), "contract_id").groupBy("contract_id", "repo_id", "role").agg(F.min("evidence_id").alias("evidence_id"), F.max("confidence").alias("confidence"))
 
 
 def legacy(edges: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -38,13 +50,20 @@ def by_evidence(edges: DataFrame, contracts: DataFrame) -> DataFrame:
     used = live.where("role in ('consumer', 'shared')").select("contract_id", "kind", "bare", "with_method", F.col("repo_id").alias("from_repo"), "evidence_id", "rule", "confidence")
     made = live.where("role in ('producer', 'owner', 'shared')").select("contract_id", "kind", "bare", "with_method", F.col("repo_id").alias("to_repo")).distinct()
     kind = F.when(F.col("kind").isin("api", "event"), F.col("kind")).when(F.col("kind") == "package", F.when(F.col("rule") == IMPORT_RULE, "import").otherwise("package")).otherwise("shared-contract")
-    same = used.join(made.select("contract_id", "to_repo"), "contract_id").where("from_repo <> to_repo")
-    same = same.select("from_repo", "to_repo", kind.alias("type"), F.col("contract_id").alias("source_contract"), F.col("contract_id").alias("target_contract"), "evidence_id", "confidence")
+    # Of a contract's targets in a repository the last stays, before any evidence meets them.
+    of = made.select("contract_id", "to_repo", F.col("contract_id").alias("target_contract"), F.lit(False).alias("bridged"))
     api = made.where("kind = 'api'").select("bare", F.col("with_method").alias("m"), F.col("contract_id").alias("target_contract"), "to_repo")
-    bridge = used.where("kind = 'api'").join(api, "bare").where("with_method <> m and from_repo <> to_repo")
-    bridge = bridge.select("from_repo", "to_repo", F.lit("api").alias("type"), F.col("contract_id").alias("source_contract"), "target_contract", "evidence_id", F.least("confidence", F.lit(0.6)).alias("confidence"))
+    bridge = used.where("kind = 'api'").select("contract_id", "bare", "with_method").distinct().join(api, "bare").where("with_method <> m")
+    targets = of.unionByName(bridge.select("contract_id", "to_repo", "target_contract", F.lit(True).alias("bridged"))).groupBy("contract_id", "to_repo").agg(F.max(F.struct("target_contract", "bridged")).alias("t"))
+    # An evidence's contracts, with the best confidence of each: where there is one, its rows come once without being compared.
+    one = _dealt(used, "evidence_id").groupBy("from_repo", kind.alias("type"), "evidence_id", "contract_id").agg(F.max("confidence").alias("confidence"))
+    one = one.groupBy("from_repo", "type", "evidence_id").agg(F.collect_list(F.struct("contract_id", "confidence")).alias("of"))
+    rows = one.select("from_repo", "type", "evidence_id", (F.size("of") > 1).alias("several"), F.inline("of")).join(targets, "contract_id").where("from_repo <> to_repo")
+    least = F.when(F.col("t.bridged"), F.least("confidence", F.lit(0.6))).otherwise(F.col("confidence"))
+    rows = rows.select("several", "from_repo", "to_repo", "type", F.col("contract_id").alias("source_contract"), "t.target_contract", "evidence_id", least.alias("confidence"))
     last = F.max(F.struct("source_contract", "target_contract", "confidence")).alias("l")
-    return same.unionByName(bridge).groupBy("from_repo", "to_repo", "type", "evidence_id").agg(last).select("from_repo", "to_repo", "type", "l.source_contract", "l.target_contract", "evidence_id", "l.confidence")
+    several = rows.where("several").groupBy("from_repo", "to_repo", "type", "evidence_id").agg(last).select("from_repo", "to_repo", "type", "l.source_contract", "l.target_contract", "evidence_id", "l.confidence")
+    return rows.where("not several").drop("several").unionByName(several)
 
 
 # What a relation means for repositories, whether it points the other way, and how an impact runs along it.

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +300,16 @@ def test_evidence_of_several_contracts_keeps_the_last(spark):
             want[at] = max(want.get(at, row), row)
     got = D.by_evidence(spark.createDataFrame(edges, "contract_id string, repo_id string, role string, evidence_id string, rule string, confidence double, active boolean"), spark.createDataFrame(contracts, "contract_id string, kind string, key string")).collect()
     assert {(r.from_repo, r.to_repo, r.type, r.evidence_id): (r.source_contract, r.target_contract, r.confidence) for r in got} == want and len(got) == len(want) > 25
+
+
+def test_participants_are_dealt_by_the_size_of_their_sources(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000).select(F.concat(F.lit("c"), F.col("id") % 500).alias("contract_id"), F.concat(F.lit("r"), F.col("id") % 7).alias("repo_id"), F.lit("consumer").alias("role"), F.col("id").cast("string").alias("evidence_id"), F.lit(0.9).alias("confidence"), F.lit(True).alias("active"))
+    rows.write.parquet(f"{tmp_path}/edges.parquet")
+    found = []
+    for piece in (4000, 2000):
+        monkeypatch.setattr(D, "PIECE", piece)
+        df = D.participants(spark.read.parquet(f"{tmp_path}/edges.parquet"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and df.count() == 3000  # nothing is grouped in the tasks that read
+        found.append(int(re.search(r"hashpartitioning\(contract_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)[1]))
+    assert found[0] > 4 and abs(found[1] - 2 * found[0]) <= 1
